@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodespark.llm import near_duplicates
+from lodespark.llm import credentials, near_duplicates, splitting
 from lodespark.session import ship, table
 
 #: Similarity and shingle width that the task gives for edited copies of chunks.
@@ -25,7 +25,23 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.grouped(*_links(spark, d), table(spark, d, "chunks"), "row_id")
 
 
-_QUERIES = [p1_found, p1_groups]
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.find(table(spark, d, "chunks"))
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.redacted(table(spark, d, "chunks"))
+
+
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split(table(spark, d, "chunks"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_pieces(spark, d).where("pieces > 1 and piece_index = 0").select("row_id")
+
+
+_QUERIES = [p1_found, p1_groups, p4_found, p4_redacted, p5_found, p5_pieces]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -39,5 +55,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: shipped(f) for f in _QUERIES}
 
 
+_ORACLES = {
+    "p5_found": "SELECT row_id FROM chunks WHERE length(text) > 1200",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
