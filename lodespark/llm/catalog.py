@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodespark.llm import credentials, near_duplicates, splitting
+from lodespark.llm import credentials, near_duplicates, personal_data, splitting
 from lodespark.session import ship, table
 
 #: Similarity and shingle width that the task gives for edited copies of chunks.
@@ -25,6 +25,14 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.grouped(*_links(spark, d), table(spark, d, "chunks"), "row_id")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal_data.find(table(spark, d, "chunks"), table(spark, d, "name_lexicon"))
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal_data.redacted(table(spark, d, "chunks"), table(spark, d, "name_lexicon"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return credentials.find(table(spark, d, "chunks"))
 
@@ -41,7 +49,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_pieces(spark, d).where("pieces > 1 and piece_index = 0").select("row_id")
 
 
-_QUERIES = [p1_found, p1_groups, p4_found, p4_redacted, p5_found, p5_pieces]
+_QUERIES = [p1_found, p1_groups, p3_found, p3_redacted, p4_found, p4_redacted, p5_found, p5_pieces]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
