@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodespark.llm import credentials, near_duplicates, personal_data, splitting
+from lodespark.llm import credentials, languages, mixing, near_duplicates, packing, personal_data, splitting
 from lodespark.session import ship, table
 
 #: Similarity and shingle width that the task gives for edited copies of chunks.
@@ -49,7 +49,31 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_pieces(spark, d).where("pieces > 1 and piece_index = 0").select("row_id")
 
 
-_QUERIES = [p1_found, p1_groups, p3_found, p3_redacted, p4_found, p4_redacted, p5_found, p5_pieces]
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(table(spark, d, "documents"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p6_packed(spark, d))
+
+
+def p7_mixed(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    return languages.segmented(table(spark, d, "documents"), table(spark, d, "lang_samples"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return languages.mislabelled(table(spark, d, "documents"), p8_segments(spark, d))
+
+
+_QUERIES = [p1_found, p1_groups, p3_found, p3_redacted, p4_found, p4_redacted, p5_found, p5_pieces, p6_packed, p6_fill, p7_mixed, p7_shares, p8_found, p8_segments]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
