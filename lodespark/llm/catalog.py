@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodespark.llm import credentials, languages, mixing, near_duplicates, packing, personal_data, splitting
+from lodespark.llm import credentials, languages, mixing, near_duplicates, packing, page_repair, personal_data, splitting
 from lodespark.session import ship, table
 
 #: Similarity and shingle width that the task gives for edited copies of chunks.
@@ -25,6 +25,14 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.grouped(*_links(spark, d), table(spark, d, "chunks"), "row_id")
 
 
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return page_repair.repaired(table(spark, d, "chunks"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return page_repair.found(p2_repaired(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return personal_data.find(table(spark, d, "chunks"), table(spark, d, "name_lexicon"))
 
@@ -73,7 +81,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return languages.mislabelled(table(spark, d, "documents"), p8_segments(spark, d))
 
 
-_QUERIES = [p1_found, p1_groups, p3_found, p3_redacted, p4_found, p4_redacted, p5_found, p5_pieces, p6_packed, p6_fill, p7_mixed, p7_shares, p8_found, p8_segments]
+_QUERIES = [p1_found, p1_groups, p2_found, p2_repaired, p3_found, p3_redacted, p4_found, p4_redacted, p5_found, p5_pieces, p6_packed, p6_fill, p7_mixed, p7_shares, p8_found, p8_segments]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
