@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodespark.llm import credentials, languages, mixing, near_duplicates, packing, page_repair, personal_data, splitting
-from lodespark.session import ship, table
+from lodespark.session import table
 
 #: Similarity and shingle width that the task gives for edited copies of chunks.
 COPY_THRESHOLD, COPY_WIDTH = 0.6, 3
@@ -85,14 +85,7 @@ _QUERIES = [p1_found, p1_groups, p2_found, p2_repaired, p3_found, p3_redacted, p
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    def shipped(f):
-        def run(spark: SparkSession, d: str) -> DataFrame:
-            ship(spark)
-            return f(spark, d)
-
-        return run
-
-    return {f.__name__: shipped(f) for f in _QUERIES}
+    return {f.__name__: f for f in _QUERIES}
 
 
 _ORACLES = {
