@@ -6,6 +6,11 @@ side and their tokens are broadcast when few; the scores are summed map-side bef
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +18,10 @@ from lodespark.functions.text import plain_tokens, tokens_related
 from lodespark.session import BROADCAST_KEYS
 
 K1, B = 1.2, 0.75
+#: Queries that one pass over the texts answers; their terms are what a worker holds.
+BLOCK_QUERIES = 4_000
+#: Scores held at once: queries times texts.
+MATRIX = 4_000_000
 
 
 def small(df: DataFrame, bound: int = BROADCAST_KEYS // 4) -> DataFrame:
@@ -49,6 +58,107 @@ def bm25(df: DataFrame, key: str, text: str, queries: DataFrame, query_key: str,
     return scored.groupBy(query_key, key).agg(F.sum("part").alias("score")).where("score > 0")
 
 
+_tokens = None
+
+
+def _tokens_of(text: str | None) -> list[str]:
+    """``plain_tokens`` in Python."""
+    global _tokens
+    if _tokens is None:
+        import regex
+
+        _tokens = regex.compile(r"[\p{L}\p{N}_]+"), regex.compile(r"[^\p{Latin}\p{N}]")
+    return [t for t in _tokens[0].findall((text or "").lower()) if len(t) >= 2 or _tokens[1].search(t)]
+
+
+def bm25_top(df: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, terms: str, k: int, digits: int = 9) -> DataFrame:
+    """(query_key, key, score, rank): the ``k`` best rows of each query by BM25, ties by key.
+
+    The queries are a stated set and meet the rows in blocks: one pass counts how often their terms stand in the texts,
+    a second scores each batch of texts against all queries of the block and hands on its ``k`` best of each. So what is
+    shuffled grows with the queries and not with the matches. Scores are rounded to ``digits`` before they are ranked.
+    """
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    asked = queries.where(F.size(terms) > 0).select(F.col(query_key).cast("long").alias("q"), F.array_distinct(terms).alias("terms"))
+    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)))
+    parts = []
+    for block in range(blocks):
+        own = [(r[0], r[1]) for r in asked.where(F.col("block") == block).select("q", "terms").orderBy("q").collect()]
+        wanted = {t for _, ts in own for t in ts}
+        if wanted:
+            counts = {r[0]: r[1] for r in rows.mapInArrow(_counting(wanted), "token string, n long").groupBy("token").agg(F.sum("n")).collect()}
+            docs, total = counts.pop(None, 0), counts.pop("", 0)
+            idf = {t: float(np.log(1 + (docs - n + 0.5) / (n + 0.5))) for t, n in counts.items()}
+            mean = (total / docs if docs else 0.0) or 1.0
+            parts.append(rows.mapInArrow(_scoring(own, idf, mean, k, digits), "q long, key long, score double"))
+    if not parts:
+        return df.sparkSession.createDataFrame([], f"`{query_key}` long, `{key}` long, score double, rank int")
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    best = top(every, "q", [F.desc("score"), F.col("key")], k)
+    return best.select(F.col("q").alias(query_key), F.col("key").alias(key), "score", "rank")
+
+
+def _counting(wanted: set[str]):
+    """Rows with each wanted token; under the null token all rows, under the empty one all their tokens."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in it:
+            for t in batch.column(1).to_pylist():
+                tokens = _tokens_of(t)
+                counts[None] += 1
+                counts[""] += len(tokens)
+                counts.update(wanted.intersection(tokens))
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
+
+    return run
+
+
+def _scoring(own: list[tuple[int, list[str]]], idf: dict[str, float], mean: float, k: int, digits: int):
+    ids = np.array([q for q, _ in own], np.int64)
+    by_token: dict[str, list[int]] = {}
+    for j, (_, ts) in enumerate(own):
+        for t in ts:
+            if t in idf:
+                by_token.setdefault(t, []).append(j)
+    asked = {t: np.array(js) for t, js in by_token.items()}
+
+    def best(keys: np.ndarray, texts: list) -> pa.RecordBatch:
+        hits: dict[str, tuple[list[int], list[float]]] = {}
+        for i, t in enumerate(texts):
+            tokens = _tokens_of(t)
+            norm = K1 * (1 - B + B * len(tokens) / mean)
+            for token, tf in Counter(w for w in tokens if w in asked).items():
+                at, parts = hits.setdefault(token, ([], []))
+                at.append(i)
+                parts.append(idf[token] * tf * (K1 + 1) / (tf + norm))
+        scores = np.zeros((len(ids), len(keys)))
+        for token in sorted(hits):
+            at, parts = hits[token]
+            scores[np.ix_(asked[token], at)] += np.array(parts)
+        scores = np.round(scores, digits)
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        take = min(k, len(keys))
+        floor = np.partition(scores, len(keys) - take, axis=1)[:, len(keys) - take]
+        for j in range(len(ids)):
+            at = np.flatnonzero((scores[j] >= floor[j]) & (scores[j] > 0))
+            at = at[np.lexsort((keys[at], -scores[j][at]))[:k]]
+            out.append((np.full(len(at), ids[j]), keys[at], scores[j][at]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["q", "key", "score"])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(k, 1, MATRIX // max(1, len(ids)))
+        for batch in it:
+            keys, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for a in range(0, len(keys), step):
+                yield best(keys[a : a + step], texts[a : a + step])
+
+    return run
+
+
 def top(scored: DataFrame, by: str, order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows of each ``by`` with their rank from 1; partial top-k runs before the shuffle."""
     return scored.withColumn(rank, F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col(rank) <= k)

@@ -44,8 +44,7 @@ def _bm25(s, d):
 
 
 def bm25_topk(s, d):
-    scored = _bm25(s, d).withColumn("score", F.round("score", 9))
-    return lexical.top(scored, "query_id", [F.desc("score"), F.col("doc_id")], K).select("query_id", "doc_id", "score", "rank")
+    return lexical.bm25_top(table(s, d, "documents"), "doc_id", "text", _asked(s, d), "query_id", "terms", K)
 
 
 def phrase_match(s, d):
@@ -132,8 +131,7 @@ def _found_chunks(s, d):
     """The ten best chunks of every hundredth chunk's terms, with text and place."""
     chunks = table(s, d, "chunks").where("text is not null")
     asked = _chunks_asked(s, d).withColumn("terms", F.split("query", " "))
-    scored = lexical.bm25(chunks, "row_id", "text", asked, "query_id", "terms").withColumn("score", F.round("score", 9))
-    return lexical.top(scored, "query_id", [F.desc("score"), F.col("row_id")], K)
+    return lexical.bm25_top(chunks, "row_id", "text", asked, "query_id", "terms", K)
 
 
 def abstention_filter(s, d):
@@ -218,9 +216,8 @@ def research_fusion(s, d):
     base = _chunks_asked(s, d)
     short = base.select("query_id", F.array_join(F.slice(F.split("query", " "), 1, 4), " ").alias("query"))
     asked = base.withColumn("is_primary", F.lit(True)).unionByName(short.withColumn("is_primary", F.lit(False))).where("query <> ''")
-    asked = asked.withColumn("q", F.concat_ws("#", "query_id", F.col("is_primary").cast("string")))
-    scored = lexical.bm25(chunks, "row_id", "text", asked.select("q", F.split("query", " ").alias("terms")), "q", "terms").withColumn("score", F.round("score", 9))
-    ranked = lexical.top(scored, "q", [F.desc("score"), F.col("row_id")], 5).join(asked, "q")
+    asked = asked.withColumn("q", F.col("query_id") * 2 + F.col("is_primary").cast("int"))
+    ranked = lexical.bm25_top(chunks, "row_id", "text", asked.select("q", F.split("query", " ").alias("terms")), "q", "terms", 5).join(asked, "q")
     rows = ranked.join(chunks.select("row_id", "relative_path", "chunk_index"), "row_id")
     out = research.fused_evidence(rows.select(F.col("query_id").alias("research_id"), F.col("q").alias("query"), "is_primary", "relative_path", "chunk_index", "rank"))
     return out.where("rank <= 5").select("research_id", "relative_path", "chunk_index", F.round("score", 9).alias("score"), "best_rank", "queries", "rank")
