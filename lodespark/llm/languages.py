@@ -7,6 +7,7 @@ scores each distinct word once. Sentences and inserted quotations get the langua
 pays for each change; what no model explains as well as it explains held-out text of its language is rejected.
 
 Null and empty texts, and texts without a sentence of at least three words (or four Han characters), have no language.
+Without samples no text has one.
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ def _gram_hashes(codes: np.ndarray, order: int) -> list[np.ndarray]:
     out = [mix(c * _ODD[0])]
     for n in range(2, order + 1):
         moved = np.zeros_like(c)
-        moved[n - 1 :] = c[: len(c) - n + 1] if n > 1 else c
+        moved[n - 1 :] = c[: max(0, len(c) - n + 1)]
         out.append(mix(out[-1] + moved * _ODD[n]))
     return out
 
@@ -105,8 +106,8 @@ class Models:
     worst: np.ndarray | None = None
     temperature: float = 1.0
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        """Log probability of each word and the space after it under each language, (words, languages)."""
+    def characters(self, words: list[str]) -> np.ndarray:
+        """Log probability of each character of the words and the spaces around them, (characters, languages)."""
         codes = _codes(" " + " ".join(words) + " ")
         n, wide = len(codes), len(self.languages)
         space = codes == 32
@@ -129,8 +130,14 @@ class Models:
             context[1:] = at[k - 1][:-1]
             need = (longest <= k) & (context >= 0) & (k <= reach)
             out[need] += self.backoff[k - 1][context[need]]
-        starts = np.flatnonzero(space)[:-1] + 1
-        return np.add.reduceat(out, starts, axis=0) if len(words) else np.zeros((0, wide), np.float32)
+        return out
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Log probability of each word and the space after it under each language, (words, languages)."""
+        if not words:
+            return np.zeros((0, len(self.languages)), np.float32)
+        sizes = np.array([len(w) + 1 for w in words])
+        return np.add.reduceat(self.characters(words), np.cumsum(sizes) - sizes + 1, axis=0)
 
     def rows(self, words: list[str]) -> np.ndarray:
         """Rows of ``table`` for the words; words not met before are scored together."""
@@ -176,6 +183,8 @@ def train(samples: list[tuple[str, str]], calibrate: bool = True) -> Models:
     """Models of all languages of the (code, text) samples; each is read as it is and without accents."""
     samples = [(c, t) for c, t in samples if c and t and words_of(t)]
     languages = sorted({c for c, _ in samples})
+    if not languages:
+        return Models([])
     counts = {c: _counts(Counter(w for k, t in samples if k == c for v in (t, without_accents(t)) for w in words_of(v))) for c in languages}
     models = Models(languages)
     known: dict[str, np.ndarray] = {}
@@ -335,6 +344,8 @@ def _path(scores: np.ndarray) -> np.ndarray:
 
 def segments(texts: list[str], models: Models) -> list[list[tuple[int, int, str, float, int]]]:
     """For each text its (start, end, language, confidence, characters of running text), neighbours of a language joined."""
+    if not models.languages:
+        return [[] for _ in texts]
     spans = [units(t or "") for t in texts]
     words = [w for own in spans for *_, ws in own for w in ws]
     sizes = [len(ws) for own in spans for *_, ws in own]

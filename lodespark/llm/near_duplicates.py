@@ -5,6 +5,7 @@ the last expansion works on classes, so any number of copies costs one band entr
 candidates are capped: a bucket with many classes is cut into blocks that are compared in pairs of blocks.
 
 Null and empty texts, and texts with fewer words than a shingle, belong to no pair and form groups of their own row.
+Rows without an id are left out.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ def sketched(df: DataFrame, id_col: str, path_col: str, text_col: str, width: in
     """(id, path, cls, n, sketch) of all rows with text; ``sketch`` is null where the task has met the class before."""
     rows = df.select(
         F.col(id_col).cast("long").alias("id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text")
-    ).where(F.col("text").isNotNull())
+    ).where(F.col("text").isNotNull() & F.col("id").isNotNull())
     return rows.mapInArrow(_sketches(width), "id long, path string, cls long, n int, sketch binary")
 
 
@@ -351,5 +352,5 @@ def grouped(links: DataFrame, rows: DataFrame, df: DataFrame, id_col: str) -> Da
     linked = linked.join(top, "root").select("cls", "links", "group_id")
     known = rows.where("n > 0").select("id", "cls").join(first, "cls").join(linked, "cls", "left")
     known = known.select(F.col("id").alias("row_id"), "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    rest = df.select(F.col(id_col).cast("long").alias("row_id")).join(rows.where("n > 0").select(F.col("id").alias("row_id")), "row_id", "left_anti")
+    rest = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("row_id")).join(rows.where("n > 0").select(F.col("id").alias("row_id")), "row_id", "left_anti")
     return known.unionByName(rest.select("row_id", F.col("row_id").alias("class_id"), F.col("row_id").alias("group_id"), F.lit(0).cast("long").alias("links")))

@@ -144,6 +144,8 @@ PHONE = re.compile(
     r")(?:,?\s*(?:ext\.?|extension|extn\.?|x|poste|durchwahl|apdo\.?)\s*\d{1,6})?(?![\w@-]|\.\d)",
     re.I,
 )
+#: A number without any grouping; taken only where it was spelled in words.
+SPOKEN = re.compile(r"(?<![\w+.@#-])\d{9,13}(?![\w@-]|\.\d)")
 SSN = re.compile(r"(?<![\w-])\d{3}([- ])\d{2}\1\d{4}(?![\w-])")
 NINO = re.compile(r"(?<![\w-])[A-Z]{2}([ -]?)\d{2}\1\d{2}\1\d{2}\1[A-D](?![\w-])")
 IDENTITY = re.compile(r"(?<![\w-])(\d{8})[- ]?([A-Z])(?![\w-])")
@@ -308,6 +310,10 @@ def detect(text: str, book: NameBook) -> list[tuple[int, int, str]]:
         for m in PHONE.finditer(t):
             if 8 <= sum(c.isdigit() for c in m[0]) <= 20:
                 take(*m.span(), "phone")
+        if reading.starts is not None:
+            for m in SPOKEN.finditer(t):
+                if text[slice(*reading.source(*m.span()))] != m[0]:
+                    take(*m.span(), "phone")
         for m in STREETS.finditer(t):
             body = re.sub(r"^[\d, ]+[a-z]?\s+", "", m[0])
             if not _NOT_STREET.match(body):
