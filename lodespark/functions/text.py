@@ -73,7 +73,7 @@ def cleaned(text: Column) -> Column:
     c = F.regexp_replace(text, r"[A-Za-z0-9+/]{240,}={0,2}", "")
     c = F.regexp_replace(c, r"\r\n?", "\n")
     c = F.regexp_replace(c, r"[ \t]+\n", "\n")
-    return F.trim(F.regexp_replace(c, r"\n{4,}", "\n\n\n"))
+    return F.regexp_replace(F.regexp_replace(c, r"\n{4,}", "\n\n\n"), r"^\s+|\s+$", "")
 
 
 def dehyphenated(text: Column) -> Column:

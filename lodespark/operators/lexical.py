@@ -171,9 +171,9 @@ def phrase(text: Column, words: Column) -> Column:
 
 
 def fuzzy_tokens(vocabulary: DataFrame, terms: DataFrame, token: str = "token", term: str = "term") -> DataFrame:
-    """(term, token): tokens one edit away from a term of seven or more ASCII characters with the first three the same."""
+    """(term, token): tokens one edit away from a term of seven or more characters with the first three the same, both ASCII."""
     long = small(terms.where(F.length(term) >= 7).where(F.col(term).rlike(r"^[a-z0-9_.-]+$")).select(term).distinct())
-    pairs = vocabulary.select(token).distinct().join(long, F.substring(token, 1, 3) == F.substring(term, 1, 3))
+    pairs = vocabulary.where(F.col(token).rlike(r"^[a-z0-9_.-]+$")).select(token).distinct().join(long, F.substring(token, 1, 3) == F.substring(term, 1, 3))
     return pairs.where((F.abs(F.length(token) - F.length(term)) <= 1) & (F.levenshtein(token, term) <= 1)).select(term, token)
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodespark.config import vector_index_policy
 from lodespark.functions import citations, text
 from lodespark.operators import context, evaluate, hybrid, lexical, research, vectors
 from lodespark.plans.catalog_text import CITATION_SQL, terms_sql, tokens_sql
@@ -205,9 +206,11 @@ def eval_gates(s, d):
 
 
 def ann_search(s, d):
+    """Cells and probes as the index policy has them: the square root of the rows, and 32 of them or all."""
     df, asked = table(s, d, "embeddings"), _vectors_asked(s, d)
-    cells = vectors.fit_cells(df, 32)
-    return vectors.probe(vectors.assign_cells(df, cells), cells, asked, K, 16).withColumn("distance", F.round("distance", 6))
+    policy = vector_index_policy(df.count(), 64, least_rows=1)
+    cells = vectors.fit_cells(df, policy["num_partitions"])
+    return vectors.probe(vectors.assign_cells(df, cells), cells, asked, K, policy["nprobes"]).withColumn("distance", F.round("distance", 6))
 
 
 def research_fusion(s, d):
@@ -296,7 +299,7 @@ SQL = {
     "phrase_match": f"""WITH a AS (SELECT doc_id AS query_id, list_slice(terms, 1, 2) AS p FROM (SELECT doc_id, {terms_sql('text')} AS terms FROM documents WHERE doc_id % 100 = 0) WHERE len(terms) >= 2),
   t AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS at FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents))
   SELECT DISTINCT query_id, x.doc_id FROM a JOIN t x ON x.token = p[1] JOIN t y ON y.doc_id = x.doc_id AND y.at = x.at + 1 AND y.token = p[2]""",
-    "fuzzy_terms": f"WITH {_WORDS} SELECT term, token FROM terms JOIN words ON substr(term, 1, 3) = substr(token, 1, 3) WHERE length(term) >= 7 AND regexp_matches(term, '^[a-z0-9_.-]+$') AND abs(length(term) - length(token)) <= 1 AND levenshtein(term, token) <= 1",
+    "fuzzy_terms": f"WITH {_WORDS} SELECT term, token FROM terms JOIN words ON substr(term, 1, 3) = substr(token, 1, 3) WHERE length(term) >= 7 AND regexp_matches(term, '^[a-z0-9_.-]+$') AND regexp_matches(token, '^[a-z0-9_.-]+$') AND abs(length(term) - length(token)) <= 1 AND levenshtein(term, token) <= 1",
     "related_terms": f"WITH {_WORDS} SELECT term, token FROM terms, words WHERE {_RELATED}",
     "identifier_match": rf"WITH i AS (SELECT row_id, unnest({_IDS}) AS identifier FROM chunks), j AS (SELECT * FROM i WHERE regexp_matches(identifier, '\d|_')) SELECT q.row_id AS query_id, q.identifier, i.row_id FROM j q JOIN j i USING (identifier) WHERE q.row_id % 100 = 0",
     "query_anchors": rf"""SELECT row_id AS query_id, array_to_string(list_sort(list_distinct(list_concat(list_filter({_IDS}, lambda t: regexp_matches(t, '\d|_')), list_filter({tokens_sql('text')}, lambda t: length(t) >= 4 AND regexp_matches(t, '\d') AND (regexp_matches(t, '\p{{L}}') OR regexp_matches(t, '^\d{{4,}}$')))))), '|') AS anchors

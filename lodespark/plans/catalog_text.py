@@ -236,7 +236,7 @@ SQL = {
     "token_counts": f"SELECT doc_id, CAST(len(t) AS INT) AS tokens, CAST(len(list_distinct(t)) AS INT) AS distinct_tokens FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents)",
     "meaningful_terms": f"SELECT doc_id, array_to_string({terms_sql('text')}, ' ') AS terms FROM documents",
     "snippets": rf"SELECT row_id, CASE WHEN length(one) > 260 THEN rtrim(substr(one, 1, 257)) || '...' ELSE one END AS snippet FROM (SELECT row_id, {_ONE} AS one FROM chunks)",
-    "cleaned_text": r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9+/]{240,}={0,2}', '', 'g'), '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), '\n{4,}', chr(10) || chr(10) || chr(10), 'g'))) AS digest FROM documents",
+    "cleaned_text": r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9+/]{240,}={0,2}', '', 'g'), '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), '\n{4,}', chr(10) || chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM documents",
     "dehyphenated_text": r"SELECT row_id, md5(regexp_replace(text, '([\p{L}\p{N}])-\n(\p{Ll})', '\1\2', 'g')) AS digest FROM chunks",
     "redacted_text": rf"{_redacted()} SELECT row_id, md5(x) AS digest, CAST(len(regexp_extract_all(x, '\[REDACTED_[A-Z_]+\]')) AS INT) AS placeholders FROM b",
     "redaction_counts": "SELECT " + ", ".join(_COUNT) + " FROM chunks",
