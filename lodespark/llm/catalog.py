@@ -89,6 +89,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _ORACLES = {
+    "p1_found": r"""WITH w AS (SELECT row_id, relative_path, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM chunks WHERE text IS NOT NULL),
+  s AS (SELECT row_id, relative_path, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 3),
+  t AS (SELECT row_id, relative_path, len(s) AS n, unnest(s) AS g FROM s)
+  SELECT a.row_id AS row_id_a, b.row_id AS row_id_b FROM t a JOIN t b ON a.g = b.g AND a.row_id < b.row_id AND a.relative_path <> b.relative_path AND least(a.n, b.n) >= 0.6 * greatest(a.n, b.n)
+  GROUP BY a.row_id, b.row_id, a.n, b.n HAVING count(*) >= 0.6 * (a.n + b.n - count(*))""",
     "p5_found": "SELECT row_id FROM chunks WHERE length(text) > 1200",
 }
 

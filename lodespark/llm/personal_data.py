@@ -140,7 +140,7 @@ PHONE = re.compile(
     r"|(?:1[-. ])?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}"
     r"|(?:1[-. ])?\d{3}([.\- ])\d{3}\1\d{4}"
     r"|0\d(?:[. -]?\d{2}){4}"
-    r"|\(?0\d{2,5}\)?[ /-]\d{3,8}(?:[ -]\d{1,6}){0,2}"
+    r"|(?<!\d )\(?0\d{2,5}\)?[ /-]\d{3,8}(?:[ -]\d{1,6}){0,2}(?! \d)"
     r")(?:,?\s*(?:ext\.?|extension|extn\.?|x|poste|durchwahl|apdo\.?)\s*\d{1,6})?(?![\w@-]|\.\d)",
     re.I,
 )
@@ -165,7 +165,7 @@ _HOUSE = r"\d{1,4}(?:[a-zA-Z]|\s?(?:bis|ter))?"
 STREETS = re.compile(
     rf"(?<![\w.\-/+])(?:"
     rf"{_HOUSE},?\s+(?:{_WORD}\s+){{1,3}}{_AFTER}(?!\s*\d)"
-    rf"|{_HOUSE},?\s+(?i:rue|avenue|boulevard|place|chemin|impasse|allée|quai|cours|route|passage|sentier)\s+(?:(?:de|du|des|la|le|les|l['’]|d['’])\s?)*{_WORD}(?:\s+(?:(?:de|du|des|la|le|les)\s+)?{_WORD})*"
+    rf"|{_HOUSE},?\s+(?i:rue|avenue|boulevard|place|chemin|impasse|allée|quai|cours|route|passage|sentier)\s+(?:(?:de|du|des|la|le|les|l['’]|d['’])\s?)*{_WORD}(?: (?:(?:de|du|des|la|le|les) )?{_WORD}){{0,2}}"
     rf"|(?:{_WORD}\s)?{_WORD}(?:[Ss]traße|[Ss]trasse|[Ss]tr\.|[Ww]eg|[Gg]asse|[Pp]latz|[Aa]llee|[Uu]fer|[Rr]ing|[Dd]amm|STRASSE|STRAßE|WEG|straat|laan|plein|gracht|kade)\s+{_HOUSE}(?!\s?[%€\w])"
     rf"|(?:Calle|CALLE|C/|Avda\.?|Avenida|Plaza|Paseo|Camino|Via|Viale|Piazza|Corso|Vicolo|Rua|Travessa|Praça|Largo|Alameda)\s+(?:(?:de|del|da|do|dos|das|di|la|las|los|della|dei)\s+)*{_WORD}(?:\s+(?:(?:de|del|da|do|di|la)\s+)?{_WORD})*,?\s+(?:n[.º°o]*\s*)?{_HOUSE}(?![\w%])"
     rf")"
@@ -253,7 +253,7 @@ def _names(text: str, book: NameBook) -> Iterator[tuple[int, int]]:
 #: Words that start sentences after a place name and a comma.
 _STARTERS = frozenset(
     "the this that these those its their our your his her each every another one no any all some both in on at by for from of to with before after since when"
-    " where while as if but and or see please write also however meanwhile then thus so der die das ein eine le la les un une el los las una il lo gli i o os uma de het een".split()
+    " where while as if à but and or see please write also however meanwhile then thus so der die das ein eine le la les un une el los las una il lo gli i o os uma de het een".split()
 )
 
 # ---- detection -------------------------------------------------------------------------------------------------------
@@ -308,7 +308,7 @@ def detect(text: str, book: NameBook) -> list[tuple[int, int, str]]:
             if PASSPORT_LABEL.search(t[max(0, m.start() - 44) : m.start()]):
                 take(*m.span(), "id_number")
         for m in PHONE.finditer(t):
-            if 8 <= sum(c.isdigit() for c in m[0]) <= 20:
+            if 9 <= sum(c.isdigit() for c in m[0]) <= 20:
                 take(*m.span(), "phone")
         if reading.starts is not None:
             for m in SPOKEN.finditer(t):
@@ -317,7 +317,10 @@ def detect(text: str, book: NameBook) -> list[tuple[int, int, str]]:
         for m in STREETS.finditer(t):
             body = re.sub(r"^[\d, ]+[a-z]?\s+", "", m[0])
             if not _NOT_STREET.match(body):
-                take(*m.span(), "address")
+                end = m.end()
+                while (last := re.search(r"\s+(\S+)$", t[m.start() : end])) and last[1].lower() in _STARTERS:
+                    end = m.start() + last.start()
+                take(m.start(), end, "address")
     for s, e in _names(t, book):
         take(s, e, "name")
     return sorted((*reading.source(s, e), kind) for s, e, kind in taken)
