@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Least share of the size at which a break of a kind ends a chunk.
@@ -251,10 +251,17 @@ def line_number(text: Column, offset: Column) -> Column:
     return 1 + F.length(F.substring(text, 1, offset)) - F.length(F.replace(F.substring(text, 1, offset), F.lit("\n"), F.lit("")))
 
 
-def joined_parts(df: DataFrame, key: str, order: str, text: str, gap: int = 2) -> DataFrame:
-    """Where each part begins and ends when the parts of a key are joined by blank lines."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length(text) + gap).over(w), F.lit(0))
-    return df.withColumn("part_start", start).withColumn("part_end", start + F.length(text))
+def joined_parts(df: DataFrame, key: str, order: str, text: str, gap: int = 2, block: int = 10_000) -> DataFrame:
+    """Where each part begins and ends when the parts of a key are joined by blank lines; ``order`` is a whole number.
+
+    The sums of blocks of the order come first, so a key with many parts is spread over tasks.
+    """
+    size = F.length(text) + gap
+    rows = df.withColumn("_block", F.floor(F.col(order) / block))
+    sums = rows.groupBy(F.col(key).alias("_key"), F.col("_block").alias("_b")).agg(F.sum(size).alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy("_key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_sum")
+    rows = rows.join(sums, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_b")))
+    own = F.sum(size).over(Window.partitionBy(key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    start = F.col("_before") + F.coalesce(own, F.lit(0))
+    return rows.withColumn("part_start", start).withColumn("part_end", start + F.length(text)).drop("_block", "_key", "_b", "_before")

@@ -163,11 +163,12 @@ def citation_expand(s, d):
 
 
 def jaccard_overlap(s, d):
-    """Token overlap of every document with the one before it in its source."""
+    """Token overlap of every document with the one before it in its thousand of ids of its source."""
     from pyspark.sql import Window
 
-    docs = table(s, d, "documents").where("source is not null").select("doc_id", "source", F.array_distinct(text.plain_tokens(F.col("text"))).alias("t"))
-    before = F.lag("t").over(Window.partitionBy("source").orderBy("doc_id"))
+    thousand = F.floor(F.col("doc_id") / 1000).alias("thousand")
+    docs = table(s, d, "documents").where("source is not null").select("doc_id", "source", thousand, F.array_distinct(text.plain_tokens(F.col("text"))).alias("t"))
+    before = F.lag("t").over(Window.partitionBy("source", "thousand").orderBy("doc_id"))
     return docs.withColumn("b", before).where("b is not null").select("doc_id", F.round(hybrid.jaccard(F.col("t"), F.col("b")), 9).alias("similarity"))
 
 
@@ -318,7 +319,7 @@ SQL = {
   i AS (SELECT *, sum(fresh) OVER (PARTITION BY relative_path ORDER BY f, l ROWS UNBOUNDED PRECEDING) AS island FROM s) SELECT relative_path, CAST(min(f) AS INT) AS first_chunk, CAST(max(l) AS INT) AS last_chunk FROM i GROUP BY relative_path, island""",
     "citation_expand": f"""WITH h AS (SELECT DISTINCT {CITATION_SQL} AS citation, relative_path, chunk_index FROM chunks WHERE row_id % 100 = 0), c AS (SELECT DISTINCT relative_path, chunk_index FROM chunks)
   SELECT citation, true AS found, CAST(count(*) AS INT) AS chunks FROM h JOIN c ON c.relative_path = h.relative_path AND c.chunk_index BETWEEN h.chunk_index - 1 AND h.chunk_index + 1 GROUP BY citation""",
-    "jaccard_overlap": f"""WITH t AS (SELECT doc_id, source, list_distinct({tokens_sql('text')}) AS t FROM documents WHERE source IS NOT NULL), b AS (SELECT *, lag(t) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM t)
+    "jaccard_overlap": f"""WITH t AS (SELECT doc_id, source, list_distinct({tokens_sql('text')}) AS t FROM documents WHERE source IS NOT NULL), b AS (SELECT *, lag(t) OVER (PARTITION BY source, doc_id // 1000 ORDER BY doc_id) AS b FROM t)
   SELECT doc_id, round(CASE WHEN len(t) + len(b) > 0 THEN len(list_intersect(t, b)) / CAST(len(t) + len(b) - len(list_intersect(t, b)) AS DOUBLE) ELSE 0 END, 9) AS similarity FROM b WHERE b IS NOT NULL""",
     "eval_cases": f"WITH {_EVAL} SELECT query_id, first_rank, {', '.join(map(_R, ('recall_at_1', 'recall_at_5', 'recall_at_10', 'precision_at_5', 'reciprocal_rank', 'ndcg_at_10')))}, hit FROM cases",
     "eval_metrics": f"WITH {_EVAL} SELECT count(*) AS cases, count(*) AS answerable_cases, {_A('recall_at_10', 'recall_at_10')}, {_A('precision_at_5', 'precision_at_5')}, {_A('reciprocal_rank', 'mrr_at_10')}, {_A('ndcg_at_10', 'ndcg_at_10')}, CAST(NULL AS DOUBLE) AS false_positive_rate FROM cases",
