@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodespark.config import vector_index_policy
+from lodespark.config import lexical_candidate_limit, vector_candidate_limit, vector_index_policy
 from lodespark.functions import citations, text
 from lodespark.operators import context, evaluate, hybrid, lexical, research, vectors
 from lodespark.plans.catalog_text import CITATION_SQL, terms_sql, tokens_sql
@@ -44,6 +44,10 @@ def _bm25(s, d):
     return lexical.bm25(table(s, d, "documents"), "doc_id", "text", _asked(s, d), "query_id", "terms")
 
 
+def bm25_scores(s, d):
+    return _bm25(s, d).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
 def bm25_topk(s, d):
     return lexical.bm25_top(table(s, d, "documents"), "doc_id", "text", _asked(s, d), "query_id", "terms", K)
 
@@ -100,12 +104,12 @@ def hash_embedding(s, d):
 
 
 def _lexical_vectors(s, d):
-    """Two rankings of documents for a query: BM25, and closeness in length and id as a stand-in for a distance."""
-    scored = _bm25(s, d).select("query_id", F.col("doc_id").alias("key"), F.round("score", 9).alias("score"))
+    """The candidates of two rankings of documents for a query: BM25, and closeness in length within its group as a stand-in for a distance."""
+    scored = lexical.bm25_top(table(s, d, "documents"), "doc_id", "text", _asked(s, d), "query_id", "terms", lexical_candidate_limit(K)).select("query_id", F.col("doc_id").alias("key"), "score")
     asked = table(s, d, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("group_key"), F.col("n_chars").alias("q"))
     near = table(s, d, "documents").select(F.col("doc_id").alias("key"), "group_key", "n_chars").join(F.broadcast(asked), "group_key")
     near = near.select("query_id", "key", F.round(F.abs(F.col("n_chars") - F.col("q")) / 1000.0, 6).alias("distance"))
-    return near, scored
+    return lexical.top(near, "query_id", [F.col("distance"), F.col("key")], vector_candidate_limit(K)).drop("rank"), scored
 
 
 def rrf_hybrid(s, d):
@@ -247,7 +251,7 @@ def output_budget(s, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    document_frequency, postings_checksum, bm25_topk, phrase_match, fuzzy_terms, related_terms, identifier_match, query_anchors, knn_exact, knn_filtered, hash_embedding, rrf_hybrid, near_dup_collapse, source_cap_topk,
+    document_frequency, postings_checksum, bm25_scores, bm25_topk, phrase_match, fuzzy_terms, related_terms, identifier_match, query_anchors, knn_exact, knn_filtered, hash_embedding, rrf_hybrid, near_dup_collapse, source_cap_topk,
     abstention_filter, spread_results, neighbor_context, context_islands, citation_expand, jaccard_overlap, mmr_rerank, eval_cases, eval_metrics, eval_groups, eval_gates, ann_search, research_fusion, code_evidence, answer_text, output_budget,
 )}
 
@@ -270,8 +274,8 @@ _CHUNKS = _bm25_sql("(SELECT * FROM chunks WHERE text IS NOT NULL)", "row_id", f
 _FOUND = f"{_CHUNKS}, found AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS INT) AS rank FROM scored WHERE score > 0) WHERE rank <= {K})"
 _WORDS = f"words AS (SELECT DISTINCT unnest({tokens_sql('text')}) AS token FROM documents), terms AS (SELECT DISTINCT token AS term FROM ({_ASKED}))"
 _NEAR = """near AS (SELECT q.doc_id AS query_id, d.doc_id AS key, round(abs(d.n_chars - q.n_chars) / 1000.0, 6) AS distance FROM documents d JOIN documents q ON d.group_key = q.group_key AND q.doc_id % 100 = 0)"""
-_FUSED = f"""{_DOCS}, {_NEAR}, v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, key) - 1 AS v FROM near),
-  l AS (SELECT query_id, doc_id AS key, score AS lexical_score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS l FROM scored WHERE score > 0),
+_FUSED = f"""{_DOCS}, {_NEAR}, v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, key) - 1 AS v FROM near) WHERE v < {vector_candidate_limit(K)}),
+  l AS (SELECT * FROM (SELECT query_id, doc_id AS key, score AS lexical_score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS l FROM scored WHERE score > 0) WHERE l < {lexical_candidate_limit(K)}),
   b AS (SELECT query_id, key, distance, v, l, coalesce(1.0 / (60 + v), 0) + coalesce(1.0 / (60 + l), 0) AS score FROM v FULL JOIN l USING (query_id, key)),
   fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CAST(score AS DOUBLE) DESC, coalesce(distance, 'infinity'::DOUBLE), key) AS rank FROM b)"""
 _GRAMS = "list_distinct(list_transform(range(1, length({c}) - 1), lambda i: substr({c}, i, 3)))"
@@ -297,6 +301,7 @@ SQL = {
     "document_frequency": f"SELECT token, count(*) AS df FROM ({_posted('documents', 'doc_id')}) GROUP BY 1",
     "postings_checksum": f"SELECT doc_id, CAST(any_value(len) AS INT) AS len, count(*) AS tokens, max(tf) AS most FROM ({_posted('documents', 'doc_id')}) GROUP BY 1",
     "bm25_topk": f"WITH {_DOCS} SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= {K}",
+    "bm25_scores": f"WITH {_DOCS} SELECT query_id, doc_id, round(score, 6) AS score FROM scored WHERE score > 0",
     "phrase_match": f"""WITH a AS (SELECT doc_id AS query_id, list_slice(terms, 1, 2) AS p FROM (SELECT doc_id, {terms_sql('text')} AS terms FROM documents WHERE doc_id % 100 = 0) WHERE len(terms) >= 2),
   t AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS at FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents))
   SELECT DISTINCT query_id, x.doc_id FROM a JOIN t x ON x.token = p[1] JOIN t y ON y.doc_id = x.doc_id AND y.at = x.at + 1 AND y.token = p[2]""",
