@@ -45,7 +45,7 @@ def _bm25(s, d):
 
 
 def bm25_scores(s, d):
-    return _bm25(s, d).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return _bm25(s, d).select("query_id", "doc_id", F.round("score", 9).alias("score"))
 
 
 def bm25_topk(s, d):
@@ -301,7 +301,7 @@ SQL = {
     "document_frequency": f"SELECT token, count(*) AS df FROM ({_posted('documents', 'doc_id')}) GROUP BY 1",
     "postings_checksum": f"SELECT doc_id, CAST(any_value(len) AS INT) AS len, count(*) AS tokens, max(tf) AS most FROM ({_posted('documents', 'doc_id')}) GROUP BY 1",
     "bm25_topk": f"WITH {_DOCS} SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= {K}",
-    "bm25_scores": f"WITH {_DOCS} SELECT query_id, doc_id, round(score, 6) AS score FROM scored WHERE score > 0",
+    "bm25_scores": f"WITH {_DOCS} SELECT query_id, doc_id, score FROM scored WHERE score > 0",
     "phrase_match": f"""WITH a AS (SELECT doc_id AS query_id, list_slice(terms, 1, 2) AS p FROM (SELECT doc_id, {terms_sql('text')} AS terms FROM documents WHERE doc_id % 100 = 0) WHERE len(terms) >= 2),
   t AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS at FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents))
   SELECT DISTINCT query_id, x.doc_id FROM a JOIN t x ON x.token = p[1] JOIN t y ON y.doc_id = x.doc_id AND y.at = x.at + 1 AND y.token = p[2]""",
