@@ -73,7 +73,7 @@ def test_tables(spark):
         assert [r.offset for r in own] == [sum(x.tokens for x in own[:k]) for k in range(len(own))]
         assert sum(r.tokens for r in own) <= 256
     assert not {1000, 1001} & {r.doc_id for r in out}
-    report = P.fill(P.packed(df, 256)).first()
+    report = P.fill(P.packed(df, 256), 256).first()
     assert report.tokens == sum(sizes.values()) and report.sequences == len(by) and report.unused == len(by) * 256 - report.tokens
-    empty = P.fill(P.packed(df.limit(0), 256)).first()
+    empty = P.fill(P.packed(df.limit(0), 256), 256).first()
     assert (empty.documents, empty.sequences, empty.tokens, empty.filled) == (0, 0, 0, None)
