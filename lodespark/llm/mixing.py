@@ -20,9 +20,9 @@ from lodespark.session import stash
 
 SEED = 20_250
 #: Ranges of keys of a source.
-RANGES = 1024
+RANGES = 4096
 #: Targets are a small fixed table; more are an error.
-MOST_TARGETS = 100_000
+MOST_TARGETS = 10_000
 
 
 def quality(text: Column) -> Column:
@@ -64,8 +64,9 @@ def mixed(
     docs = docs.join(F.broadcast(goals.select("source")), "source", "left_semi").where(F.length("text") > 0)
     keyed = docs.select("doc_id", "source", exponential_key(F.col("doc_id"), quality(F.col("text")), seed).alias("key"), "text")
     pool = tokens.sized(keyed, path=path).where("tokens > 0")
-    # keys of weight 1 would fall evenly into the ranges; a range is only a unit of work
-    pool = stash(pool.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * ranges).cast("int")))
+    # any growing function of the key will do, as a range is only a unit of work; this one parts light documents, of large
+    # keys, as well as heavy ones
+    pool = stash(pool.withColumn("range", F.floor(F.col("key") / (F.col("key") + 1) * ranges).cast("int")))
 
     parts = pool.groupBy("source", "range").agg(F.sum("tokens").alias("range_tokens"))
     by_source = Window.partitionBy("source")
@@ -75,16 +76,15 @@ def mixed(
     parts = parts.join(goals, "source").withColumn("budget", F.col("target_share") * total)
     parts = parts.withColumn("epochs", F.least(F.floor(F.col("budget") / F.col("available")), F.col("max_repeats")).cast("int"))
     parts = parts.withColumn("rest", F.when(F.col("epochs") < F.col("max_repeats"), F.col("budget") - F.col("epochs") * F.col("available")).otherwise(F.lit(0.0)))
-    parts = stash(parts.select("source", "range", "before", "range_tokens", "epochs", "rest"))
-
-    # at most ranges times targets rows, whatever the collection
-    rows = pool.join(F.broadcast(parts), ["source", "range"])
-    inside = F.col("before") + F.col("range_tokens") <= F.col("rest")
-    beyond = F.col("before") >= F.col("rest")
-    whole = rows.where(inside | beyond).withColumn("extra", F.when(inside, 1).otherwise(0))
-    edge = rows.where(~(inside | beyond))
-    up_to = F.col("before") + F.sum("tokens").over(Window.partitionBy("source", "range").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    edge = edge.withColumn("extra", F.when(up_to - F.col("tokens") / 2 <= F.col("rest"), 1).otherwise(0))
+    # of every source the range in which its budget ends: one row for each target
+    over = F.col("before") + F.col("range_tokens") > F.col("rest")
+    ends = parts.groupBy("source").agg(
+        F.first("epochs").alias("epochs"), F.first("rest").alias("rest"), F.min(F.when(over, F.col("range"))).alias("edge"), F.min(F.when(over, F.col("before"))).alias("before")
+    )
+    rows = pool.join(F.broadcast(stash(ends)), "source")
+    whole = rows.where("edge is null or range <> edge").withColumn("extra", F.when(F.col("edge").isNull() | (F.col("range") < F.col("edge")), 1).otherwise(0))
+    up_to = F.col("before") + F.sum("tokens").over(Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    edge = rows.where("range = edge").withColumn("extra", F.when(up_to - F.col("tokens") / 2 <= F.col("rest"), 1).otherwise(0))
     chosen = whole.unionByName(edge).withColumn("repeats", F.col("epochs") + F.col("extra")).where("repeats > 0")
     chosen = chosen.select("doc_id", "source", "tokens", "repeats")
 
