@@ -21,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _one_machine(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
@@ -30,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if named:
         return named
-    if not sc.master.startswith("local["):
+    if not _one_machine(spark):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="lodespark-")
     atexit.register(shutil.rmtree, own, True)
@@ -58,7 +63,7 @@ def semi_by_key(df: DataFrame, keys: DataFrame, on: str, bound: int = BROADCAST_
 def ship(spark: SparkSession) -> None:
     """Send this package to executors that don't have it on their path."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    if spark.sparkContext.master.startswith("local[") or root in os.environ.get("PYTHONPATH", "").split(":"):
+    if _one_machine(spark) or root in os.environ.get("PYTHONPATH", "").split(":"):
         return
     if getattr(spark.sparkContext, "_lodespark_shipped", False):
         return
