@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 BLOCK_QUERIES = 4_000
 #: Rows the coarse quantiser is fitted on at most, those with the smallest hashes of their ids.
 FIT_ROWS = 50_000
+#: Share of the cells that a search visits. Recall follows the share and not the number of cells, so it is the same at every size.
+PROBED_SHARE = 0.75
+#: Distances that a batch holds at once: 80 MB of doubles.
+HELD_DISTANCES = 10_000_000
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -49,22 +53,35 @@ def nearest(df: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vect
     return every.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("key").alias(key), "distance", "rank")
 
 
-def _partial(ids: np.ndarray, matrix: np.ndarray, k: int):
+def _partial(ids: np.ndarray, matrix: np.ndarray, k: int, reach: np.ndarray | None = None):
+    """The ``k`` best of each query in each batch; ``reach`` (queries, cells) limits a query to rows of some cells, the third column."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         square = (matrix**2).sum(1)
         for batch in it:
             keys, rows = batch.column(0).to_numpy(), _matrix(batch.column(1))
             if not len(keys):
                 continue
-            rough = square[:, None] + (rows**2).sum(1)[None, :] - 2 * matrix @ rows.T
-            take = min(len(keys), k + 8)  # a few more, as the fast form rounds
-            near = np.argpartition(rough, take - 1, axis=1)[:, :take] if take < len(keys) else np.tile(np.arange(len(keys)), (len(ids), 1))
-            exact = np.sqrt(((rows[near] - matrix[:, None, :]) ** 2).sum(2))
-            order = np.lexsort((keys[near], exact), axis=1)[:, :k]
-            near, exact = np.take_along_axis(near, order, 1), np.take_along_axis(exact, order, 1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, near.shape[1])), pa.array(keys[near].ravel()), pa.array(exact.ravel())], ["query_id", "key", "distance"]
-            )
+            size = (rows**2).sum(1)
+            step = max(1, HELD_DISTANCES // len(keys))
+            for a in range(0, len(ids), step):
+                own, asked = ids[a : a + step], matrix[a : a + step]
+                rough = square[a : a + step, None] + size[None, :] - 2 * asked @ rows.T
+                if reach is not None:
+                    within = reach[a : a + step][:, batch.column(2).to_numpy()]
+                    rough[~within] = np.inf
+                take = min(len(keys), k + 8)  # a few more, as the fast form rounds
+                near = np.argpartition(rough, take - 1, axis=1)[:, :take] if take < len(keys) else np.tile(np.arange(len(keys)), (len(own), 1))
+                exact = np.sqrt(((rows[near] - asked[:, None, :]) ** 2).sum(2))
+                if reach is not None:
+                    exact[~np.take_along_axis(within, near, 1)] = np.inf
+                order = np.lexsort((keys[near], exact), axis=1)[:, :k]
+                near, exact = np.take_along_axis(near, order, 1), np.take_along_axis(exact, order, 1)
+                found = np.repeat(own, near.shape[1]), keys[near].ravel(), exact.ravel()
+                if reach is not None:
+                    keep = np.isfinite(found[2])
+                    found = tuple(c[keep] for c in found)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "key", "distance"])
 
     return run
 
@@ -99,16 +116,35 @@ def assign_cells(df: DataFrame, centroids: np.ndarray, key: str = "vec_id", vect
     return rows.mapInArrow(run, f"key long, vector {kind}, cell int")
 
 
+def probes_of(cells: int, share: float = PROBED_SHARE) -> int:
+    """How many of the cells a search visits."""
+    return min(cells, int(np.ceil(cells * share)))
+
+
 def probe(indexed: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, probes: int) -> DataFrame:
-    """(query_id, key, distance, rank) of the rows in the ``probes`` cells nearest to each query, exactly ranked within them."""
-    asked = [(r[0], r[1], [int(j) for j in np.argsort(((centroids - np.array(r[1])) ** 2).sum(1))[:probes]]) for r in queries.select("query_id", "vector").limit(BLOCK_QUERIES + 1).collect()]
-    if len(asked) > BLOCK_QUERIES:
-        raise ValueError(f"probe at most {BLOCK_QUERIES} queries at once")
-    table = indexed.sparkSession.createDataFrame([(q, v, c) for q, v, cs in asked for c in cs], "query_id long, query array<double>, cell int")
-    pairs = indexed.join(F.broadcast(table), "cell")
-    square = F.aggregate(F.zip_with("vector", "query", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    """(query_id, key, distance, rank) of the rows in the ``probes`` cells nearest to each query, exactly ranked within them.
+
+    Blocks of queries meet every row once, as in ``nearest``.
+    """
+    rows = indexed.select("key", "vector", "cell")
+    asked = queries.where(F.col("vector").isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), "vector")
+    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
+    numbered = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    every = None
+    for block in range(blocks):
+        own = numbered.where(F.col("block") == block).select("query_id", "vector").collect()
+        if not own or not len(centroids):
+            continue
+        ids, matrix = np.array([r[0] for r in own], np.int64), np.array([r[1] for r in own], np.float64)
+        far = (centroids**2).sum(1)[None, :] - 2 * matrix @ centroids.T
+        reach = np.zeros(far.shape, bool)
+        np.put_along_axis(reach, np.argsort(far, axis=1, kind="stable")[:, :probes], True, 1)
+        part = rows.mapInArrow(_partial(ids, matrix, k, reach), "query_id long, key long, distance double")
+        every = part if every is None else every.unionByName(part)
+    if every is None:
+        return indexed.sparkSession.createDataFrame([], "query_id long, key long, distance double, rank int")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "key"))
-    return pairs.select("query_id", "key", F.sqrt(square).alias("distance")).withColumn("rank", rank).where(F.col("rank") <= k)
+    return every.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def recall(expected: DataFrame, actual: DataFrame, key: str = "key") -> float:

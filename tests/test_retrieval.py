@@ -86,6 +86,27 @@ def test_cells_find_nine_of_ten(spark, tiny):
     assert vectors.recall(exact, vectors.probe(index, cells, asked, 10, 12)) >= 0.9
 
 
+def test_recall_does_not_fall_with_the_table(spark, tmp_path):
+    from lodespark.plans import catalog_search
+
+    x = np.random.default_rng(4).normal(size=(20_000, 16)).astype(np.float32)  # 141 cells
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    df.repartition(4).write.parquet(str(tmp_path / "embeddings.parquet"))
+    exact = catalog_search.knn_exact(spark, str(tmp_path)).withColumnRenamed("vec_id", "key")
+    assert vectors.recall(exact, catalog_search.ann_search(spark, str(tmp_path))) >= 0.9
+
+
+def test_probe_takes_blocks_of_queries(spark, tiny, monkeypatch):
+    df = spark.read.parquet(f"{tiny}/embeddings.parquet")
+    asked = df.where("vec_id % 2 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    cells = vectors.fit_cells(df, 16)
+    run = lambda: sorted(map(tuple, vectors.probe(vectors.assign_cells(df, cells), cells, asked, 3, 5).collect()))
+    want = run()
+    monkeypatch.setattr(vectors, "BLOCK_QUERIES", 3)
+    monkeypatch.setattr(vectors, "HELD_DISTANCES", 7)
+    assert run() == want and len(want) == 3 * asked.count()
+
+
 def test_hash_embedding():
     v = hashed("alpha beta alpha")
     assert len(v) == DIMENSION and sum(x * x for x in v) == pytest.approx(1)
