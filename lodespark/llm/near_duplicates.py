@@ -63,7 +63,7 @@ def _sketches(width: int):
                     for k, row in zip(np.flatnonzero(lead), regs):
                         sketch[k] = row.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [ids[a:b], paths[a:b], pa.array(keys.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(sketch, pa.binary())],
+                    [ids[a:b], paths[a:b], pa.array(keys.view(np.int64)), pa.array(S.distinct(elements, n).astype(np.int32)), pa.array(sketch, pa.binary())],
                     ["id", "path", "cls", "n", "sketch"],
                 )
 
@@ -71,7 +71,7 @@ def _sketches(width: int):
 
 
 def sketched(df: DataFrame, id_col: str, path_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, path, cls, n, sketch) of all rows with text; ``sketch`` is null where the task has met the class before."""
+    """(id, path, cls, n, sketch) of all rows with text; ``n`` is the size of the set, ``sketch`` is null where the task has met the class before."""
     rows = df.select(
         F.col(id_col).cast("long").alias("id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text")
     ).where(F.col("text").isNotNull() & F.col("id").isNotNull())

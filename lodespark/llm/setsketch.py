@@ -74,6 +74,16 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.nda
     return out, n
 
 
+def distinct(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The number of different elements of each text."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((elements, owner))
+    e, o = elements[order], owner[order]
+    fresh = np.ones(len(e), bool)
+    fresh[1:] = (e[1:] != e[:-1]) | (o[1:] != o[:-1])
+    return np.bincount(o[fresh], minlength=len(counts))
+
+
 def sequence_keys(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """One 64-bit key for each text that has words: equal for texts of the same words in the same order."""
     place = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)

@@ -68,6 +68,18 @@ def test_large_buckets_are_compared_in_blocks(spark):
         assert {(r[0], r[1]) for r in N.row_pairs(links, members).collect()} == want
 
 
+def test_a_passage_repeated_in_one_of_two_texts(spark):
+    rng = random.Random(7)
+    rows = []
+    for k in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(90)]
+        rows += [(2 * k, f"a{k}", " ".join(words)), (2 * k + 1, f"b{k}", " ".join(words * (k % 4 + 2)))]
+    want = brute(rows, 0.6, 3)
+    assert len(want) == 12
+    links, members = N.class_links(frame(spark, rows), "row_id", "relative_path", "text", 0.6, 3)
+    assert {(r[0], r[1]) for r in N.row_pairs(links, members).collect()} == want
+
+
 def test_groups_have_every_row_once(spark):
     rows = corpus(30)
     rows += [(900, "a", None), (901, "a", ""), (902, None, "two words"), (903, "b", "one two three"), (904, "c", "one two three"), (905, "c", "ONE, two... Three!")]
