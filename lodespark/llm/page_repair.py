@@ -25,10 +25,9 @@ from lodespark.session import stash
 
 #: Clean rows that train the perceptrons at most, those with the smallest hashes of their ids.
 TRAINING_ROWS = 1_500
-#: Words of the vocabulary at most, the most frequent; about 30 MB on an executor.
-VOCABULARY = 300_000
-#: Times that a word stands in clean text before it counts as known.
-LEAST_COUNT = 3
+#: Times that a word stands in clean prose before it counts as known, and its least share of the words of all prose, so that
+#: chance strings don't become known as the table grows. A share bounds the vocabulary: 1,000,000 words at most, 100 MB on an executor.
+LEAST_COUNT, LEAST_SHARE = 3, 1e-6
 #: Words a task counts before it hands the counts on.
 COUNTED = 300_000
 EPOCHS = 5
@@ -56,6 +55,9 @@ for _seen, _true in MISREADINGS[:46]:
 _PART = r"[^\W\d_](?:[^\W_]|[(|!$](?=[^\W\d_]))*|[(|!$\d](?=[^\W\d_])[^\W_](?:[^\W_]|[(|!$](?=[^\W\d_]))*"
 TOKEN = re.compile(rf"(?:{_PART})(?:-(?:{_PART}))*")
 _WORD = re.compile(r"[^\W\d_]+")
+_PLAIN = re.compile(r"[^\W\d_]+(?:['’‐–—-][^\W\d_]+)*")
+_AROUND = "\"'()[]«»„“”‘’*.,;:!?…"
+_POINTS = re.compile("[，。、；：！？（）《》「」]")
 _DIVIDED = re.compile(rf"([^\W_])([{re.escape(DIVIDERS)}])[ \t]*$")
 _D = r"[\dlIOoSiB|]"
 _ROMAN = r"[ivxlcIVXLC1|]{1,8}"
@@ -523,53 +525,73 @@ class Repairer:
         return "\n\n".join(out), sorted(defects)
 
 
-def vocabulary(df: DataFrame, text_col: str = "text", least: int = LEAST_COUNT, bound: int = VOCABULARY) -> dict[str, int]:
-    """Counts of the words and hyphenated compounds of all texts: the ``bound`` most frequent with ``least`` or more."""
+class _Prose(dict):
+    """The words and compounds that a string between blanks counts for; none for parts of code, keys and identifiers."""
+
+    def __missing__(self, token: str) -> tuple[str, ...]:
+        bare = token.strip(_AROUND)
+        out: tuple[str, ...] = ()
+        if _PLAIN.fullmatch(bare):
+            parts = _WORD.findall(bare)
+            if all(p[1:] == p[1:].lower() or p.isupper() for p in parts):
+                low = bare.lower()
+                out = (*_WORD.findall(low), *re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)+", low))
+        if len(self) >= COUNTED:
+            self.clear()
+        self[token] = out
+        return out
+
+
+def prose_words(text: str, known: _Prose) -> list[tuple[str, ...]]:
+    """What the strings of a text count for, in lines of which more than half are words."""
+    out = []
+    for line in _POINTS.sub(" ", text).split("\n"):
+        tokens = line.split()
+        words = [w for t in tokens if (w := known[t])]
+        if 2 * len(words) > len(tokens):
+            out += words
+    return out
+
+
+def vocabulary(df: DataFrame, text_col: str = "text", least: int = LEAST_COUNT, share: float = LEAST_SHARE) -> dict[str, int]:
+    """Counts of the words and hyphenated compounds of all prose: those with ``least`` or more and a ``share`` of all words."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        known = _Prose()
+        forms: Counter = Counter()
 
         def out() -> pa.RecordBatch:
+            counts: Counter = Counter()
+            for words, n in forms.items():
+                for w in words:
+                    counts[w] += n
+                counts[""] += n  # how many there are in all
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
-        word, compound = re.compile(r"[^\W\d_]+"), re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
         for batch in it:
             for t in batch.column(0).to_pylist():
-                low = t.lower()
-                counts.update(word.findall(low))
-                if "-" in low:
-                    counts.update(compound.findall(low))
-            if len(counts) > COUNTED:
+                forms.update(prose_words(t, known))
+            if len(forms) > COUNTED:
                 yield out()
-                counts.clear()
+                forms.clear()
         yield out()
 
     words = df.where(F.length(text_col) > 0).select(text_col).mapInArrow(run, "word string, n long")
     # longer strings are keys and codes
-    words = stash(words.where(F.length("word") <= 40).groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
-    return _most_frequent(words, bound)
-
-
-def _most_frequent(words: DataFrame, bound: int) -> dict[str, int]:
-    """The (word, n) rows of the highest counts, ``bound`` at most; words of one count come all or not at all."""
-    sizes = words.groupBy(F.least("n", F.lit(1_000_000)).alias("n")).count().collect()
-    total, least = 0, 1_000_001
-    for r in sorted(sizes, reverse=True):
-        total += r[1]
-        if total > bound:
-            break
-        least = r[0]
-    return {r[0]: r[1] for r in words.where(F.col("n") >= least).collect()}
+    words = stash(words.where(F.length("word") <= 40).groupBy("word").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("word") == "")))
+    total = words.where("word = ''").agg(F.sum("n")).first()[0] or 0
+    return {r[0]: r[1] for r in words.where((F.col("n") >= max(least, share * total)) & (F.col("word") != "")).collect()}
 
 
-def compounds(scans: DataFrame, text_col: str = "text", least: int = LEAST_COUNT, bound: int = VOCABULARY) -> dict[str, int]:
+def compounds(scans: DataFrame, text_col: str = "text", least: int = LEAST_COUNT, share: float = LEAST_SHARE) -> dict[str, int]:
     """Hyphenated compounds inside the lines of scanned texts, and their parts.
 
     One that a misreading may have made of another, at least ten times as frequent, is left out.
     """
     found = F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"(\p{L}+(?:-\p{L}+)+)(?!\s*[\n\p{L}])"), 1)).alias("word")
-    counts = scans.where(F.length(text_col) > 0).select(found).groupBy("word").agg(F.count("*").alias("n"))
-    return sound_compounds(_most_frequent(stash(counts.where((F.col("n") >= least) & (F.length("word") <= 40))), bound))
+    counts = stash(scans.where(F.length(text_col) > 0).select(found).groupBy("word").agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return sound_compounds({r[0]: r[1] for r in counts.where((F.col("n") >= max(least, share * total)) & (F.length("word") <= 40)).collect()})
 
 
 def sound_compounds(n: dict[str, int]) -> dict[str, int]:

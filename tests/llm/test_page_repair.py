@@ -49,6 +49,20 @@ def test_finds_and_repairs_every_kind(frame):
     assert (1000, "header") in found and all(i < 2000 for i, _ in found)
 
 
+def test_strings_of_code_and_chance_are_no_words(spark):
+    rng = random.Random(4)
+    text = prose(rng, 200) + "\nA cross-check, isn't it?\n在月底之前，经过核对。"
+    code = 'AUD_KEY = "aud+hcr/9"\nrun(aud, "tbe-22")\n  id: EV-17-tlie\nqR/aud+zzk= hcr7\nxYzaB'
+    df = spark.createDataFrame([(text,), (text,), (text + " aud",)] + [(code,)] * 200, "text string")
+    known = R.vocabulary(df)
+    assert not {"aud", "hcr", "tbe", "tlie", "zzk", "qr", "xyzab", "ev"} & set(known)
+    assert {*WORDS, "cross-check", "cross", "check", "isn", "在月底之前", "经过核对"} <= set(known)
+    chance = spark.createDataFrame([(text,)] * 60 + [(text + " aud",)] * 3, "text string")
+    assert "aud" in R.vocabulary(chance) and "aud" not in R.vocabulary(chance, share=1e-3)
+    editor = R.train_editor(R.vocabulary(chance, share=1e-3) | {"and": 900}, [text] * 20)
+    assert editor.correct("aud") == "and"
+
+
 def test_empty_tables(spark):
     assert R.repaired(spark.createDataFrame([], SCHEMA)).count() == 0
     one = spark.createDataFrame([(1, "a", "Some text\nhere.", 1, 0, "", "")], SCHEMA)
