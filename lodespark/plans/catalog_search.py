@@ -167,13 +167,20 @@ def citation_expand(s, d):
 
 
 def jaccard_overlap(s, d):
-    """Token overlap of every document with the one before it in its thousand of ids of its source."""
+    """Token overlap of every document with the one before it in its source.
+
+    Blocks of a thousand ids spread a large source; the first of a block meets the last of the block before it in the source.
+    """
     from pyspark.sql import Window
 
     thousand = F.floor(F.col("doc_id") / 1000).alias("thousand")
     docs = table(s, d, "documents").where("source is not null").select("doc_id", "source", thousand, F.array_distinct(text.plain_tokens(F.col("text"))).alias("t"))
-    before = F.lag("t").over(Window.partitionBy("source", "thousand").orderBy("doc_id"))
-    return docs.withColumn("b", before).where("b is not null").select("doc_id", F.round(hybrid.jaccard(F.col("t"), F.col("b")), 9).alias("similarity"))
+    inner = docs.withColumn("b", F.lag("t").over(Window.partitionBy("source", "thousand").orderBy("doc_id")))
+    blocks = docs.groupBy("source", "thousand").agg(F.min("doc_id").alias("doc_id"), F.min_by("t", "doc_id").alias("t"), F.max_by("t", "doc_id").alias("last"))
+    before = docs.select("source", "thousand").distinct().withColumn("before", F.lag("thousand").over(Window.partitionBy("source").orderBy("thousand")))
+    edges = blocks.join(before, ["source", "thousand"]).join(blocks.select("source", F.col("thousand").alias("before"), F.col("last").alias("b")), ["source", "before"])
+    pairs = inner.select("doc_id", "t", "b").unionByName(edges.select("doc_id", "t", "b")).where("b is not null")
+    return pairs.select("doc_id", F.round(hybrid.jaccard(F.col("t"), F.col("b")), 9).alias("similarity"))
 
 
 def mmr_rerank(s, d):

@@ -107,6 +107,21 @@ def test_probe_takes_blocks_of_queries(spark, tiny, monkeypatch):
     assert run() == want and len(want) == 3 * asked.count()
 
 
+def test_overlap_reaches_over_blocks_of_ids(spark, tmp_path):
+    from lodespark.plans import catalog_search
+
+    words = "red green blue cyan lime teal gold grey".split()
+    rows = [(k, s, " ".join(random.Random(k).choices(words, k=4))) for s, ids in (("a", range(0, 5000, 300)), ("b", (7, 2500, 9100)), ("c", (1, 2, 3)), ("d", (4,)), (None, (5, 1005))) for k in ids]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {}
+    for (_, s, x), (k, r, y) in zip(rows, rows[1:]):
+        if s == r and s:
+            a, b = set(x.split()), set(y.split())
+            want[k] = pytest.approx(len(a & b) / len(a | b))
+    got = catalog_search.jaccard_overlap(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {r.doc_id: r.similarity for r in got} == want
+
+
 def test_hash_embedding():
     v = hashed("alpha beta alpha")
     assert len(v) == DIMENSION and sum(x * x for x in v) == pytest.approx(1)
