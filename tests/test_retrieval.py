@@ -129,6 +129,16 @@ def test_hash_embedding():
     assert hashed("Alpha, BETA alpha!") == v
 
 
+def test_every_document_is_embedded(spark, tiny):
+    from lodespark.plans import catalog_search
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r.doc_id: r.largest for r in catalog_search.hash_embedding(spark, tiny).collect()}
+    assert set(got) == set(texts)
+    for k in list(texts)[:20]:
+        assert texts[k] is None or got[k] == pytest.approx(max(hashed(texts[k])), abs=1e-5)
+
+
 def test_fusion(spark):
     v = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.5), (1, "c", float("inf")), (1, "d", None)], "query_id long, key string, distance double")
     l = spark.createDataFrame([(1, "b", 3.0), (1, "e", 2.0), (1, "a", 0.0)], "query_id long, key string, score double")  # noqa: E741
