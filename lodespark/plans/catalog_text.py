@@ -83,7 +83,7 @@ def query_sanitize(s, d):
 
 
 def research_expansions(s, d):
-    rows = table(s, d, "documents").select("doc_id", queries.research_queries(F.substring("text", 1, 120)).alias("q"))
+    rows = table(s, d, "documents").select("doc_id", queries.research_queries(F.col("text")).alias("q"))
     return rows.select("doc_id", F.size("q").alias("n"), F.md5(F.array_join("q", "|")).alias("digest"))
 
 

@@ -85,3 +85,21 @@ def test_routing(spark):
     assert not r.use and r.tool == "none" and r.confidence == 0.0
     r = one(spark, queries.routed(F.col("t")), t=None)
     assert not r.use and r.signals == []
+
+
+def test_research_expansions_take_the_whole_text(spark, tmp_path):
+    import hashlib
+
+    from lodespark.functions.queries import SUFFIXES
+    from lodespark.functions.text import meaningful_terms
+    from lodespark.plans import catalog_text
+
+    texts = {1: "annual ledger " * 12 + "สัญญา", 2: "annual ledger " * 12 + "archive", 3: "  annual ledger " * 12 + "pour  ", 4: "short text"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    terms = {r.doc_id: " ".join(r.t) for r in df.select("doc_id", meaningful_terms(F.trim("text")).alias("t")).collect()}
+    got = {r.doc_id: (r.n, r.digest) for r in catalog_text.research_expansions(spark, str(tmp_path)).collect()}
+    for k, kind in ((1, "thai"), (2, "other"), (3, "french"), (4, "other")):
+        one = texts[k].strip()
+        every = list(dict.fromkeys([one, terms[k], *(f"{one} {x}" for x in SUFFIXES[kind])]))[:5]
+        assert got[k] == (len(every), hashlib.md5("|".join(every).encode()).hexdigest())
