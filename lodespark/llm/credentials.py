@@ -135,6 +135,11 @@ def credentials(text: str, path: str = "") -> list[tuple[int, int]]:
     return [(s, e) for s, e, _ in _pieces(text, path)]
 
 
+def _goes_on(more: re.Match) -> bool:
+    """Whether what stands before the next literal makes it a piece of the one before."""
+    return "\n" in more[0] or "+" in more[0][: more.start(1) - more.start()] or "\\" in more[0]
+
+
 def _pieces(text: str, path: str) -> list[tuple[int, int, bool]]:
     """(start, end, whether it opens a credential)."""
     if not text or not may_hold(text):
@@ -167,11 +172,13 @@ def _pieces(text: str, path: str) -> list[tuple[int, int, bool]]:
             continue
         last = text[m.end("name") - 4 : m.end("name")].lower()
         if quoted and (more := MORE.match(text, m.end())) and re.fullmatch(r"[A-Za-z0-9+/=_.\-]{4,}", value):
-            whole = value + more[2]
-            if "\n" in more[0] or "+" in more[0][: more.start(1) - more.start()] or "\\" in more[0]:
-                if is_secret_value(whole):
-                    found += [(s, e), (more.start(2), -more.end(2))]
-                    continue
+            pieces = []
+            while more and _goes_on(more):
+                pieces.append(more.span(2))
+                more = MORE.match(text, more.end())
+            if pieces and is_secret_value(value + "".join(text[a:b] for a, b in pieces)):
+                found += [(s, e), *((a, -b) for a, b in pieces)]
+                continue
         if last.endswith("pat") and len(value) < 8:
             continue
         if is_secret_value(value):

@@ -51,6 +51,15 @@ def test_divided_literals_open_once():
     assert C.redact(text, "a.py")[1] == 1
 
 
+@pytest.mark.parametrize("gap", ["\n    ", " + ", " \\\n  ", " +\n"])
+def test_literals_of_many_pieces_are_masked_whole(gap):
+    pieces = ["glpat-jA4BQg0j3r", "B1aKDemiVv", "Qz7TnW2xLp", "M4rYc8sKdE"]
+    text = "client_secret = (" + gap.join(f'"{p}"' for p in pieces) + ')\nname = "plainvalue"'
+    assert [text[s:e] for s, e in C.credentials(text, "a.py")] == pieces
+    new, n = C.redact(text, "a.py")
+    assert n == 1 and not any(p in new for p in pieces) and new.endswith('name = "plainvalue"')
+
+
 @pytest.mark.parametrize("path,text,value", CASES)
 def test_masks_keep_length_alphabet_and_lines(path, text, value):
     new, n = C.redact(text, path)
