@@ -268,7 +268,9 @@ _MARK = re.compile("[.!?。！？\\n«»„“”\"(（)）]")
 _CLOSERS = "\"”»’)]"
 _INSERT = re.compile(r"\s*(?:(?:[^\W\d_]+[\s,，'’]+){2}|[一-鿿]{4})")
 _HAN = re.compile(r"[぀-ヿ㐀-鿿]")
-_CODE = re.compile(r"\w\(.*\)\s*[;{]?$|^\s*(?:def|class|import|return|if|for|while|function|const|let|var|SELECT)\b.*[({;:]\s*$|[{};=<>|\t]|^\s*[\w.]+\s*[:=]\s*\S+$|(?:[^;\n]*;){2}|\w+_\w+")
+_CODE = re.compile(r"\w\(.*\)\s*[;{]?$|^\s*(?:def|class|import|return|if|for|while|function|const|let|var|SELECT)\b.*[({;:]\s*$|^\s*[\w.]+\s*[:=]\s*\S+$")
+#: Signs that prose has a few of and code many, and the letters that prose has for each at least.
+_SIGN, LETTERS_A_SIGN = re.compile(r"[{};=<>|\t]|\w+_\w+"), 30
 _CODE_SIGN = re.compile(r"[{};=<>|\t_:]|\)\s*$")
 _DIGIT = re.compile(r"\d")
 
@@ -286,7 +288,7 @@ def units(text: str) -> list[tuple[int, int, list[str]]]:
         words = words_of(bare)
         if len(words) < 8 and sum(len(w) > 1 for w in words) < 3 and len(_HAN.findall(bare)) < 4:
             return
-        if _CODE_SIGN.search(bare) and _CODE.search(bare):
+        if _CODE_SIGN.search(bare) and (_CODE.search(bare) or len(_SIGN.findall(bare)) * LETTERS_A_SIGN > sum(map(str.isalpha, bare))):
             return
         out.append((s, s + len(bare), words))
 

@@ -55,6 +55,16 @@ def test_what_is_no_prose(models):
     assert L.segments(["zzxq kkjw vvbq wqxz jjkq zzqx wwvq"], models)[0] == []  # rejected
 
 
+def test_prose_with_a_few_signs_is_prose(models):
+    for sign in ("; ", " | ", " = ", " < ", "\t", " check_count "):
+        text = f"Every quarterly release protected that checklist{sign}the report followed the export with few exceptions."
+        assert [(s, e) for s, e, _ in L.units(text)] == [(0, len(text))]
+    long = "The first team wrote the quarterly report on the archive; the second team checked every page of it; the third team signed the release."
+    assert L.languages_of(L.segments([long + " " + long], models)[0]) == ["en"]
+    for code in ("const total = first + second + third;", "emit_first_record | trim_all | sort_by_count", "error = parse fetch count;"):
+        assert L.units(code) == []
+
+
 def test_capitals_and_missing_accents(models, samples):
     for c, t in samples[1][::9]:
         for v in (t.upper(), L.without_accents(t)):
