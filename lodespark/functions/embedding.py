@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,20 +28,27 @@ def _bucket(feature: str) -> tuple[int, float]:
     return int.from_bytes(d[:4], "big") % DIMENSION, 1.0 if d[4] % 2 == 0 else -1.0
 
 
+@lru_cache(100_000)
+def _token(token: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and weights that one occurrence of a token adds."""
+    features = [(token, LONG_WEIGHT if len(token) >= LONG else 1.0)] + [("ngram:" + token[k : k + 3], GRAM_WEIGHT) for k in range(len(token) - 2)]
+    places = [(*_bucket(f), w) for f, w in features]
+    return np.array([i for i, _, _ in places]), np.array([s * w for _, s, w in places])
+
+
 def hashed(text: str) -> list[float]:
     """384 numbers: every token adds 1.4 or 1 by length, every trigram 0.35, at a bucket and sign from SHA-256; unit length.
 
     A text without tokens gives zeros.
     """
-    v = [0.0] * DIMENSION
-    for t in tokenize(text):
-        i, s = _bucket(t)
-        v[i] += s * (LONG_WEIGHT if len(t) >= LONG else 1.0)
-        for k in range(len(t) - 2):
-            i, s = _bucket("ngram:" + t[k : k + 3])
-            v[i] += s * GRAM_WEIGHT
-    norm = math.sqrt(sum(x * x for x in v))
-    return [x / norm for x in v] if norm else v
+    counts = Counter(tokenize(text))
+    if not counts:
+        return [0.0] * DIMENSION
+    own = [_token(t) for t in counts]
+    times = np.repeat(np.fromiter(counts.values(), float, len(counts)), [len(i) for i, _ in own])
+    v = np.bincount(np.concatenate([i for i, _ in own]), np.concatenate([w for _, w in own]) * times, DIMENSION)
+    norm = math.sqrt(float(v @ v))
+    return (v / norm if norm else v).tolist()
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))

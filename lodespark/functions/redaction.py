@@ -42,6 +42,8 @@ GATES = {
     "private_key": "PRIVATE KEY-----", "jwt": "eyJ", "stripe_secret_key": "k_", "gitlab_token": "glpat-", "bearer_token": "earer", "openai_api_key": "sk-", "google_api_key": "AIza",
     "slack_token": "xox", "sendgrid_api_key": "SG.", "url_credentials": "://", "email": "@",
 }
+#: Noncharacters that stand around matches while they are checked.
+MARKS = ("\ufdd0", "\ufdd1")
 GATE_PATTERNS = {"api_token": r"[A-Za-z0-9_=-]{20}", "aws_access_key_id": r"A[KS]IA[0-9A-Z]{16}", "iban": r"(?i)[A-Z]{2}\d{2}[A-Z0-9]{11}", "credit_card": r"\d(?:[ -]*\d){12}"}
 
 
@@ -57,7 +59,7 @@ def ascii_edges(pattern: str, fold: bool = False, plain: bool = False) -> str:
     return ("(?i)" if fold else "") + pattern.replace(r"\b", _EDGE)
 
 
-def _let(value: Column, then) -> Column:
+def let(value: Column, then) -> Column:
     """``then`` of a value that the expression holds once, however often ``then`` names it."""
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
@@ -81,9 +83,8 @@ def redact(text: Column, rules: Iterable[RedactionRule] = ()) -> Column:
     """The text with every match replaced; null stays null."""
     out = text
     for name, pattern, fold in PATTERNS[:-1]:
-        out = _let(out, _replacing(name, ascii_edges(pattern, fold)))
-    card = F.lit(placeholder("credit_card"))
-    out = _let(out, lambda t: F.when(gated(t, "credit_card"), F.aggregate(card_numbers(t), t, lambda acc, m: F.replace(acc, m, card))).otherwise(t))
+        out = let(out, _replacing(name, ascii_edges(pattern, fold)))
+    out = let(out, lambda t: F.when(gated(t, "credit_card"), _checked(f"({ascii_edges(PATTERNS[-1][1])})", placeholder("credit_card"))(t)).otherwise(t))
     for rule in rules:
         check_pattern(rule.pattern, rule.flags)
         flags = "".join(f for f in rule.flags if f in "ims")
@@ -91,7 +92,7 @@ def redact(text: Column, rules: Iterable[RedactionRule] = ()) -> Column:
         if rule.verify == "luhn":
             pattern = f"({'(?' + flags + ')' if flags else ''}{ascii_edges(rule.pattern)})"
 
-            out = _let(out, _checked(pattern, target))
+            out = let(out, _checked(pattern, target))
         else:
             out = F.regexp_replace(out, (f"(?{flags})" if flags else "") + ascii_edges(rule.pattern), re.sub(r"([$\\])", r"\\\1", target))
     return out
@@ -102,9 +103,19 @@ def _replacing(name: str, pattern: str):
 
 
 def _checked(pattern: str, target: str):
+    """Replaces the matches whose digits pass the check, each at its place and nowhere else.
+
+    The matches are set between marks, so that every second piece of the text is one; the marks are noncharacters, of
+    which a text doesn't hold both.
+    """
+    good = lambda m: F.call_function("luhn_check", F.regexp_replace(m, r"[^0-9]", ""))
+
     def then(t: Column) -> Column:
-        matches = F.filter(F.regexp_extract_all(t, F.lit(pattern), 1), lambda m: F.call_function("luhn_check", F.regexp_replace(m, r"[^0-9]", "")))
-        return F.aggregate(matches, t, lambda acc, m: F.replace(acc, m, F.lit(target)))
+        def laced(mark: str) -> Column:
+            pieces = F.split(F.regexp_replace(t, pattern, f"{mark}$1{mark}"), mark, -1)
+            return F.array_join(F.transform(pieces, lambda m, k: F.when((k % 2 == 1) & good(m), F.lit(target)).otherwise(m)), "")
+
+        return F.when(F.contains(t, F.lit(MARKS[0])), laced(MARKS[1])).otherwise(laced(MARKS[0]))
 
     return then
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,21 +92,47 @@ def chunk_stats(df: DataFrame, text: str = "text", context: str = "context_path"
     return stats.withColumn("contextual_ratio", F.when(F.col("count") > 0, F.col("contextual") / F.col("count")).otherwise(F.lit(0.0)))
 
 
-def corpus_fingerprint(files: DataFrame) -> DataFrame:
-    """One row: files, chunks and a SHA-256 over the ordered paths and checksums, each with its length in front.
+#: Fixed value: what stands in front of the entries under a corpus's fingerprint.
+FINGERPRINT_HEAD = "indexed-corpus-v1\0"
+
 
-    The text under the hash is as long as the manifest; hashes of ranges of paths are taken first, so no task holds it.
+def corpus_fingerprint(files: DataFrame, head: str = FINGERPRINT_HEAD) -> DataFrame:
+    """One row: files, chunks and a SHA-256 over the ordered paths and checksums, each with its length in bytes in front.
+
+    Ranges of paths are sorted and their entries joined to blobs in parallel; the blobs then pass in order through one task
+    that does nothing but the digest, as each step of it hangs on the one before. Rows without path or checksum don't count.
     """
-    entry = F.concat(F.length("relative_path").cast("string"), F.lit(":"), F.col("relative_path"), F.length("checksum").cast("string"), F.lit(":"), F.col("checksum"))
-    rows = files.where("relative_path is not null and checksum is not null").select("relative_path", entry.alias("entry"), F.sha2("relative_path", 256).substr(1, 3).alias("part"), F.col("chunk_count").cast("long").alias("n"))
-    parts = rows.groupBy("part").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("relative_path", "entry"))), lambda x: x["entry"]), ""), 256).alias("digest"), F.count("*").alias("files"), F.sum("n").alias("chunks"))
-    return parts.agg(F.sum("files").alias("files"), F.sum("chunks").alias("chunks"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "digest"))), lambda x: x["digest"]), ""), 256).alias("fingerprint"))
+    known = files.where("relative_path is not null and checksum is not null").select("relative_path", "checksum", F.coalesce(F.col("chunk_count").cast("long"), F.lit(0)).alias("n"))
+
+    def blobs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            entries = [(p.encode(), c.encode()) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            if entries:
+                blob = b"".join(b"%d:%s%d:%s" % (len(p), p, len(c), c) for p, c in entries)
+                first, last = (batch.column(0)[k].as_py() + "\0" + batch.column(1)[k].as_py() for k in (0, len(entries) - 1))
+                yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([last]), pa.array([blob]), pa.array([len(entries)]), pa.array([sum(batch.column(2).to_pylist())])], ["first", "last", "blob", "files", "chunks"])
+
+    def digest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, rows, chunks = hashlib.sha256(head.encode()), 0, 0
+        for batch in it:
+            for blob in batch.column(2):
+                state.update(blob.as_buffer())
+            rows, chunks = rows + sum(batch.column(3).to_pylist()), chunks + sum(batch.column(4).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([rows]), pa.array([chunks]), pa.array([state.hexdigest()])], ["files", "chunks", "fingerprint"])
+
+    ranges = known.repartitionByRange("relative_path", "checksum").sortWithinPartitions("relative_path", "checksum")
+    joined = ranges.mapInArrow(blobs, "first string, last string, blob binary, files long, chunks long")
+    return joined.repartition(1).sortWithinPartitions("first", "last").mapInArrow(digest, "files long, chunks long, fingerprint string")
 
 
 def duplicate_groups(files: DataFrame, limit: int = 20) -> DataFrame:
-    """The largest groups of paths with one checksum (its first 12 characters), by size and key."""
-    groups = files.groupBy(F.substring("checksum", 1, 12).alias("checksum12")).agg(F.countDistinct("relative_path").alias("files")).where("files > 1")
-    return groups.orderBy(F.desc("files"), "checksum12").limit(limit)
+    """(checksum12, paths): the largest groups of paths with one checksum (its first 12 characters), by size and key.
+
+    The groups are counted first; only those in the report bring their paths.
+    """
+    own = files.select(F.substring("checksum", 1, 12).alias("checksum12"), "relative_path").distinct()
+    groups = own.groupBy("checksum12").agg(F.count("*").alias("files")).where("files > 1").orderBy(F.desc("files"), "checksum12").limit(limit)
+    return own.join(F.broadcast(groups), "checksum12").groupBy("checksum12").agg(F.max("files").alias("files"), F.sort_array(F.collect_list("relative_path")).alias("paths"))
 
 
 def counts_by(df: DataFrame, column: Column, name: str) -> DataFrame:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodespark.session import spread
+
 #: Least share of the size at which a break of a kind ends a chunk.
 PARAGRAPH, SENTENCE, LINE, SPACE = 0.45, 0.55, 0.65, 0.75
 _ENDS = ((". ", 1), ("? ", 1), ("! ", 1), ("。", 1), ("？", 1), ("！", 1))
@@ -233,7 +235,7 @@ def chunked(df: DataFrame, size: int = 1200, overlap: int = 200, key: str = "rel
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
 
     ext = F.lower(F.col(extension)) if extension and extension in df.columns else F.lit("")
-    rows = df.where(F.length(text) > 0).select(F.col(key), F.col(text).alias("text"), ext.alias("extension"))
+    rows = spread(df.where(F.length(text) > 0).select(F.col(key), F.col(text).alias("text"), ext.alias("extension")), key)
     made = rows.mapInArrow(run, f"`{key}` {kind}, chunk_index int, context_path string, text string, char_start long, char_end long, line_start int, line_end int")
     return made.withColumn("id", chunk_id(F.col(key).cast("string"), F.col("chunk_index"), F.col("context_path"), F.col("text")))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodespark.functions.citations import cited_index, cited_path
+from lodespark.operators.lexical import small
 
 FIELDS = ("chunk_index", "context_path", "text", "char_start", "char_end")
 
@@ -27,9 +28,10 @@ def neighbours(hits: DataFrame, chunks: DataFrame, radius: int, where=None) -> D
     applies to the neighbours too. Chunks delivered again count once.
     """
     rows = chunks.where(where) if where is not None else chunks
-    rows = rows.select("relative_path", *FIELDS).dropDuplicates(["relative_path", "chunk_index"])
     asked = hits.select("query_id", "relative_path", F.col("chunk_index").alias("hit")).distinct()
     asked = asked.withColumn("chunk_index", F.explode(F.sequence(F.greatest(F.col("hit") - radius, F.lit(0)), F.col("hit") + radius)))
+    wanted = small(asked.select("relative_path", "chunk_index").distinct())  # texts of other chunks are not moved
+    rows = rows.select("relative_path", *FIELDS).join(wanted, ["relative_path", "chunk_index"], "left_semi").dropDuplicates(["relative_path", "chunk_index"])
     found = asked.join(rows, ["relative_path", "chunk_index"])
     return found.groupBy("query_id", "relative_path", F.col("hit").alias("chunk_index")).agg(F.sort_array(F.collect_list(F.struct(*FIELDS))).alias("context"))
 
@@ -42,7 +44,8 @@ def expanded(citations: DataFrame, chunks: DataFrame, radius: int, citation: str
     from lodespark.functions.citations import of_chunks
 
     asked = citations.select(F.col(citation).alias("citation"), cited_path(F.col(citation)).alias("relative_path"), cited_index(F.col(citation)).alias("chunk_index"))
-    real = chunks.select("relative_path", "chunk_index", of_chunks().alias("own")).distinct()
+    wanted = small(asked.select("relative_path", "chunk_index").distinct())
+    real = chunks.join(wanted, ["relative_path", "chunk_index"], "left_semi").select("relative_path", "chunk_index", of_chunks().alias("own")).distinct()
     checked = asked.join(real, ["relative_path", "chunk_index"], "left").groupBy("citation", "relative_path", "chunk_index").agg(F.max(F.coalesce(F.col("own") == F.col("citation"), F.lit(False))).alias("found"))
     around = neighbours(checked.where("found").select(F.col("citation").alias("query_id"), "relative_path", "chunk_index"), chunks, radius)
     return checked.join(around.select(F.col("query_id").alias("citation"), "context"), "citation", "left")

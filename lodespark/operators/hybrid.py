@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodespark.functions.text import anchors, identifiers, identifiers_related, plain_tokens, tokens_related
+from lodespark.functions.text import has_evidence
 
 RRF = 60
 FARTHEST = 1.1
@@ -36,14 +36,6 @@ def fused(vector: DataFrame, lexical: DataFrame, key: str = "key", vector_weight
     return both.select("query_id", key, "distance", "lexical_score", (F.col("v") + 1).alias("vector_rank"), (F.col("l") + 1).alias("lexical_rank"), "score", "rank")
 
 
-def has_evidence(query: Column, text: Column) -> Column:
-    """Whether a text supports a query: one of its anchors if it has any, else any related token."""
-    asked, tokens, ids = anchors(query), plain_tokens(text), identifiers(text)
-    anchored = F.exists(asked, lambda a: F.exists(ids, lambda i: identifiers_related(a, i)) | F.array_contains(tokens, a))
-    related = F.exists(plain_tokens(query), lambda q: F.exists(tokens, lambda t: tokens_related(q, t)))
-    return F.when(F.size(asked) > 0, anchored).otherwise(related)
-
-
 def passes(query: Column, text: Column, distance: Column | None = None, semantic: bool = False, farthest: float = FARTHEST) -> Column:
     """Abstention: lexical evidence, or with a semantic provider a small distance."""
     lexical = has_evidence(query, text)
@@ -54,9 +46,17 @@ def collapse_key(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")))
 
 
-def collapsed(rows: DataFrame, text: str = "text", path: str = "relative_path", rank: str = "rank", exact: Column | None = None) -> DataFrame:
-    """One row per text and query: at the best rank of its copies, the copy with the exact path, then the shallower, then the shorter path."""
-    key = F.sha2(collapse_key(F.col(text)), 256)
+def text_digest(text: Column) -> Column:
+    """Equal for texts that are copies but for case and white space."""
+    return F.sha2(collapse_key(text), 256)
+
+
+def collapsed(rows: DataFrame, text: str = "text", path: str = "relative_path", rank: str = "rank", exact: Column | None = None, digest: str | None = None) -> DataFrame:
+    """One row per text and query: at the best rank of its copies, the copy with the exact path, then the shallower, then the shorter path.
+
+    ``digest`` names a column with ``text_digest``, so that the texts themselves needn't come along.
+    """
+    key = F.col(digest) if digest else text_digest(F.col(text))
     best = F.coalesce(exact.cast("int"), F.lit(0)) if exact is not None else F.lit(0)
     depth = F.size(F.split(path, "/"))
     group = Window.partitionBy("query_id", "_text")

@@ -1,7 +1,8 @@
-"""Full-text operators: postings, BM25, phrases, fuzzy and identifier matches.
+"""Full-text operators: the inverted index, BM25, phrases, fuzzy and identifier matches.
 
-The inverted index is a table (key, token, tf, len); a batch of queries joins it on the token. Query tables are the small
-side and their tokens are broadcast when few; the scores are summed map-side before the shuffle.
+The index is a table of one row for each text, (key, len, tokens, tfs): it is made in one narrow pass, holds all that
+BM25 needs, and lies beside the texts, so that a hot token is spread like the rows that hold it. Queries are a stated set
+and meet the rows in blocks; each task keeps the best of each query, so what is shuffled grows with the queries only.
 """
 
 from __future__ import annotations
@@ -14,14 +15,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodespark.functions.text import plain_tokens, tokens_related
-from lodespark.session import BROADCAST_KEYS
+from lodespark.functions.text import tokenize, tokens
+from lodespark.session import BROADCAST_KEYS, spread, stash
 
 K1, B = 1.2, 0.75
-#: Queries that one pass over the texts answers; their terms are what a worker holds.
+#: Queries that one pass over the index answers; their terms are what a worker holds.
 BLOCK_QUERIES = 4_000
 #: Scores held at once: queries times texts.
 MATRIX = 4_000_000
+#: Rows held for the best of a block's queries before they are cut to the best.
+HELD = 2_000_000
+#: Distinct tokens of queries that are sent to the workers, so that the index of one search holds no others.
+SENT_TOKENS = 500_000
+INDEX = ("len", "tokens", "tfs")
 
 
 def small(df: DataFrame, bound: int = BROADCAST_KEYS // 4) -> DataFrame:
@@ -29,134 +35,176 @@ def small(df: DataFrame, bound: int = BROADCAST_KEYS // 4) -> DataFrame:
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 
-def postings(df: DataFrame, key: str, text: Column | str) -> DataFrame:
-    """(key, token, tf, len): each token of each text, how often it stands there and how many tokens the text has."""
-    tokens = df.select(key, plain_tokens(F.col(text) if isinstance(text, str) else text).alias("tokens"))
-    each = tokens.select(key, F.size("tokens").alias("len"), F.explode("tokens").alias("token"))
-    return each.groupBy(key, "token", "len").agg(F.count("*").alias("tf"))
+def index(df: DataFrame, key: str, text: str, only: list[str] | None = None) -> DataFrame:
+    """(key, len, tokens, tfs) of every row: how many tokens its text has, the distinct ones and how often each stands there.
 
+    With ``only`` just these tokens are kept, while ``len`` counts all. Null and empty texts have none.
+    """
+    kept = None if only is None else frozenset(only)
 
-def document_frequency(posted: DataFrame) -> DataFrame:
-    return posted.groupBy("token").agg(F.count("*").alias("df"))
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            lens, offsets, tokens, tfs = [], [0], [], []
+            for t in batch.column(1).to_pylist():
+                every = tokenize(t) if t else []
+                counts = Counter(every if kept is None else [w for w in every if w in kept])
+                lens.append(len(every))
+                tokens += counts
+                tfs += counts.values()
+                offsets.append(len(tokens))
+            at = pa.array(offsets, pa.int32())
+            arrays = [batch.column(0), pa.array(lens, pa.int32()), pa.ListArray.from_arrays(at, pa.array(tokens, pa.string())), pa.ListArray.from_arrays(at, pa.array(tfs, pa.int32()))]
+            yield pa.RecordBatch.from_arrays(arrays, [key, *INDEX])
 
+    rows = spread(df.select(F.col(key), F.col(text).alias("_text")), key)
+    return rows.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, len int, tokens array<string>, tfs array<int>")
 
-def bm25(df: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, terms: str) -> DataFrame:
-    """(query_key, key, score) of every document with a term of a query; ``terms`` are distinct tokens of the query.
 
-    N and the mean length are those of all documents, null and empty texts included, so no term leaves an average out.
-    A mean length of 0 counts as 1.
-    """
-    total = df.select(F.size(plain_tokens(F.col(text))).alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).first()
-    docs, mean = total["docs"], total["mean"] or 1.0
-    asked = queries.select(query_key, F.explode(F.array_distinct(terms)).alias("token"))
-    tokens = small(asked.select("token").distinct())
-    hit = postings(df, key, text).join(tokens, "token", "left_semi")
-    idf = F.log(1 + (F.lit(float(docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = hit.join(document_frequency(hit).withColumn("idf", idf), "token")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(float(mean))))
-    scored = weighted.select("token", key, part.alias("part")).join(small(asked), "token")
-    return scored.groupBy(query_key, key).agg(F.sum("part").alias("score")).where("score > 0")
+def postings(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, token, tf, len): each token of each text, how often it stands there and how many tokens the text has."""
+    each = index(df, key, text).select(key, "len", F.explode(F.arrays_zip("tokens", "tfs")).alias("x"))
+    return each.select(key, F.col("x.tokens").alias("token"), F.col("x.tfs").cast("long").alias("tf"), "len")
 
 
-_tokens = None
+def document_frequency(posted: DataFrame) -> DataFrame:
+    return posted.groupBy("token").agg(F.count("*").alias("df"))
 
 
-def _tokens_of(text: str | None) -> list[str]:
-    """``plain_tokens`` in Python."""
-    global _tokens
-    if _tokens is None:
-        import regex
+def _counting(wanted: set[str] | None):
+    """(token, n): in how many rows each wanted token stands; under the null token all rows, under the empty one all their tokens."""
 
-        _tokens = regex.compile(r"[\p{L}\p{N}_]+"), regex.compile(r"[^\p{Latin}\p{N}]")
-    return [t for t in _tokens[0].findall((text or "").lower()) if len(t) >= 2 or _tokens[1].search(t)]
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in it:
+            tokens = batch.column(1).flatten().to_pylist()
+            counts.update(tokens if wanted is None else [t for t in tokens if t in wanted])
+            counts[None] += len(batch)
+            counts[""] += sum(batch.column(0).to_pylist())
+            if len(counts) > SENT_TOKENS:
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
+                counts.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
+
+    return run
 
 
-def bm25_top(df: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, terms: str, k: int, digits: int = 9) -> DataFrame:
-    """(query_key, key, score, rank): the ``k`` best rows of each query by BM25, ties by key.
+def scored(indexed: DataFrame, key: str, asked: DataFrame, k: int | None, digits: int = 9) -> DataFrame:
+    """(q, key, score[, rank]) by BM25 of the rows of an index; with ``k`` the best of each query, ties by key, else all above 0.
 
-    The queries are a stated set and meet the rows in blocks: one pass counts how often their terms stand in the texts,
-    a second scores each batch of texts against all queries of the block and hands on its ``k`` best of each. So what is
-    shuffled grows with the queries and not with the matches. Scores are rounded to ``digits`` before they are ranked.
+    ``asked`` is (q, token) with an optional ``boost``, ``key`` a whole number. N and the mean length are those of all rows,
+    null and empty texts included; a mean length of 0 counts as 1. Scores are rounded to ``digits`` before they are ranked.
     """
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    asked = queries.where(F.size(terms) > 0).select(F.col(query_key).cast("long").alias("q"), F.array_distinct(terms).alias("terms"))
-    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)))
+    boost = F.col("boost") if "boost" in asked.columns else F.lit(1.0)
+    asked = stash(asked.select("q", "token", boost.cast("double").alias("boost")))
+    queries, tokens = asked.agg(F.countDistinct("q"), F.countDistinct("token")).first()
+    few = tokens <= SENT_TOKENS
+    wanted = {r[0] for r in asked.select("token").distinct().collect()} if few else None
+    counts = indexed.select("len", "tokens").mapInArrow(_counting(wanted), "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = counts if few else stash(counts)
+    known = {r[0]: r[1] for r in (counts if few else counts.where("token is null or token = ''")).collect()}
+    docs, mean = known.get(None, 0), (known.get("", 0) / known[None] if known.get(None) else 0.0) or 1.0
+    blocks = max(1, -(-queries // BLOCK_QUERIES))
+    rows = indexed.select(F.col(key).cast("long").alias("key"), *INDEX)
     parts = []
     for block in range(blocks):
-        own = [(r[0], r[1]) for r in asked.where(F.col("block") == block).select("q", "terms").orderBy("q").collect()]
-        wanted = {t for _, ts in own for t in ts}
-        if wanted:
-            counts = {r[0]: r[1] for r in rows.mapInArrow(_counting(wanted), "token string, n long").groupBy("token").agg(F.sum("n")).collect()}
-            docs, total = counts.pop(None, 0), counts.pop("", 0)
-            idf = {t: float(np.log(1 + (docs - n + 0.5) / (n + 0.5))) for t, n in counts.items()}
-            mean = (total / docs if docs else 0.0) or 1.0
-            parts.append(rows.mapInArrow(_scoring(own, idf, mean, k, digits), "q long, key long, score double"))
+        own = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block)
+        # many tokens: those of the block alone come to the driver
+        terms = [(r[0], r[1], r[2], known.get(r[1], 0)) for r in own.collect()] if few else [tuple(r) for r in own.join(counts, "token").select("q", "token", "boost", "n").collect()]
+        terms = [(q, t, w * float(np.log(1 + (docs - n + 0.5) / (n + 0.5)))) for q, t, w, n in terms if n]
+        if terms:
+            parts.append(rows.mapInArrow(_scoring(terms, mean, k, digits), "q long, key long, score double"))
     if not parts:
-        return df.sparkSession.createDataFrame([], f"`{query_key}` long, `{key}` long, score double, rank int")
+        return indexed.sparkSession.createDataFrame([], "q long, key long, score double" + (", rank int" if k else ""))
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    best = top(every, "q", [F.desc("score"), F.col("key")], k)
-    return best.select(F.col("q").alias(query_key), F.col("key").alias(key), "score", "rank")
-
-
-def _counting(wanted: set[str]):
-    """Rows with each wanted token; under the null token all rows, under the empty one all their tokens."""
+    return top(every, "q", [F.desc("score"), F.col("key")], k) if k else every
+
+
+def _scoring(own: list[tuple[int, str, float]], mean: float, k: int | None, digits: int):
+    ids = np.array(sorted({q for q, _, _ in own}), np.int64)
+    place = {q: j for j, q in enumerate(ids.tolist())}
+    names = sorted({t for _, t, _ in own})
+    number = {t: n for n, t in enumerate(names)}
+    by_token: list[tuple[list[int], list[float]]] = [([], []) for _ in names]
+    for q, t, w in own:
+        by_token[number[t]][0].append(place[q])
+        by_token[number[t]][1].append(w)
+    asked = [(np.array(js), np.array(ws)) for js, ws in by_token]
+
+    def scores(lens: np.ndarray, counts: np.ndarray, tokens: np.ndarray, tfs: np.ndarray) -> np.ndarray:
+        """(queries, texts) of the texts with so many postings each."""
+        text = np.repeat(np.arange(len(lens)), counts)
+        norm = K1 * (1 - B + B * lens / mean)
+        part = tfs * (K1 + 1) / (tfs + norm[text])
+        order = np.argsort(tokens, kind="stable")
+        order = order[np.searchsorted(tokens[order], 0) :]  # tokens that no query has are -1
+        edges = np.flatnonzero(np.diff(tokens[order], prepend=-1, append=-1))
+        out = np.zeros((len(ids), len(lens)))
+        for a, b in zip(edges[:-1], edges[1:]):
+            at = order[a:b]
+            js, ws = asked[tokens[at[0]]]
+            out[np.ix_(js, text[at])] += ws[:, None] * part[at]
+        return np.round(out, digits)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        floor = np.full(len(ids), 10.0**-digits / 2)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        rows = 0
+
+        def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            j, keys, score = (np.concatenate(c) for c in zip(*held))
+            order = np.lexsort((keys, -score, j))
+            j, keys, score = j[order], keys[order], score[order]
+            nth = np.arange(len(j)) - np.searchsorted(j, j)
+            last = nth == k - 1
+            floor[j[last]] = score[last]
+            keep = nth < k
+            return j[keep], keys[keep], score[keep]
+
+        step = max(1, MATRIX // len(ids))
         for batch in it:
-            for t in batch.column(1).to_pylist():
-                tokens = _tokens_of(t)
-                counts[None] += 1
-                counts[""] += len(tokens)
-                counts.update(wanted.intersection(tokens))
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
+            keys, lens = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(float)
+            offsets = batch.column(2).offsets.to_numpy()
+            tokens = np.array([number.get(t, -1) for t in batch.column(2).flatten().to_pylist()], np.int64)
+            tfs, first = batch.column(3).flatten().to_numpy().astype(float), offsets[0]
+            for a in range(0, len(keys), step):
+                b = min(a + step, len(keys))
+                s, e = offsets[a] - first, offsets[b] - first
+                got = scores(lens[a:b], np.diff(offsets[a : b + 1]), tokens[s:e], tfs[s:e])
+                j, at = np.nonzero(got >= floor[:, None])
+                if k is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(keys[a:b][at]), pa.array(got[j, at])], ["q", "key", "score"])
+                    continue
+                held.append((j, keys[a:b][at], got[j, at]))
+                rows += len(j)
+                if rows > HELD + k * len(ids):
+                    held[:] = [best()]
+                    rows = len(held[0][0])
+        if held:
+            j, keys, score = best()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(keys), pa.array(score)], ["q", "key", "score"])
 
     return run
 
 
-def _scoring(own: list[tuple[int, list[str]]], idf: dict[str, float], mean: float, k: int, digits: int):
-    ids = np.array([q for q, _ in own], np.int64)
-    by_token: dict[str, list[int]] = {}
-    for j, (_, ts) in enumerate(own):
-        for t in ts:
-            if t in idf:
-                by_token.setdefault(t, []).append(j)
-    asked = {t: np.array(js) for t, js in by_token.items()}
-
-    def best(keys: np.ndarray, texts: list) -> pa.RecordBatch:
-        hits: dict[str, tuple[list[int], list[float]]] = {}
-        for i, t in enumerate(texts):
-            tokens = _tokens_of(t)
-            norm = K1 * (1 - B + B * len(tokens) / mean)
-            for token, tf in Counter(w for w in tokens if w in asked).items():
-                at, parts = hits.setdefault(token, ([], []))
-                at.append(i)
-                parts.append(idf[token] * tf * (K1 + 1) / (tf + norm))
-        scores = np.zeros((len(ids), len(keys)))
-        for token in sorted(hits):
-            at, parts = hits[token]
-            scores[np.ix_(asked[token], at)] += np.array(parts)
-        scores = np.round(scores, digits)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        take = min(k, len(keys))
-        floor = np.partition(scores, len(keys) - take, axis=1)[:, len(keys) - take]
-        for j in range(len(ids)):
-            at = np.flatnonzero((scores[j] >= floor[j]) & (scores[j] > 0))
-            at = at[np.lexsort((keys[at], -scores[j][at]))[:k]]
-            out.append((np.full(len(at), ids[j]), keys[at], scores[j][at]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["q", "key", "score"])
+def _index_for(df: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, terms: str) -> tuple[DataFrame, DataFrame]:
+    """The index of one search as a table, of the asked tokens where they are few enough to send, else of all; and (q, token)."""
+    asked = stash(queries.select(F.col(query_key).cast("long").alias("q"), F.explode(F.array_distinct(terms)).alias("token")))
+    wanted = [r[0] for r in asked.select("token").distinct().limit(SENT_TOKENS + 1).collect()]
+    return stash(index(df, key, text, wanted if len(wanted) <= SENT_TOKENS else None)), asked
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(k, 1, MATRIX // max(1, len(ids)))
-        for batch in it:
-            keys, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for a in range(0, len(keys), step):
-                yield best(keys[a : a + step], texts[a : a + step])
 
-    return run
+def bm25(df: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, terms: str) -> DataFrame:
+    """(query_key, key, score) of every row with a term of a query; ``terms`` are tokens of the query."""
+    indexed, asked = _index_for(df, key, text, queries, query_key, terms)
+    return scored(indexed, key, asked, None).select(F.col("q").alias(query_key), F.col("key").alias(key), "score")
+
+
+def bm25_top(df: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, terms: str, k: int) -> DataFrame:
+    """(query_key, key, score, rank): the ``k`` best rows of each query by BM25, ties by key."""
+    indexed, asked = _index_for(df, key, text, queries, query_key, terms)
+    return scored(indexed, key, asked, k).select(F.col("q").alias(query_key), F.col("key").alias(key), "score", "rank")
 
 
 def top(scored: DataFrame, by: str, order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -164,10 +212,51 @@ def top(scored: DataFrame, by: str, order: list[Column], k: int, rank: str = "ra
     return scored.withColumn(rank, F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def phrases(df: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, words: str) -> DataFrame:
+    """(query_key, key): the rows that hold all tokens of a query one after the other.
+
+    The phrases meet the rows in blocks; a row's tokens are looked up by the first token of a phrase. A phrase without
+    tokens is in no row.
+    """
+    asked = queries.where(F.size(words) > 0).select(F.col(query_key).cast("long").alias("q"), F.col(words).alias("words"))
+    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
+    rows = spread(df.where(F.length(text) > 0).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), "key")
+    every = None
+    for block in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block).collect()
+        if own:
+            part = rows.mapInArrow(_phrases([(r[0], tuple(r[1])) for r in own]), "q long, key long")
+            every = part if every is None else every.unionByName(part)
+    if every is None:
+        every = df.sparkSession.createDataFrame([], "q long, key long")
+    return every.select(F.col("q").alias(query_key), F.col("key").alias(key))
+
+
+def _phrases(own: list[tuple[int, tuple[str, ...]]]):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_first: dict[str, dict[tuple[str, ...], list[int]]] = {}
+        for q, words in own:
+            by_first.setdefault(words[0], {}).setdefault(words, []).append(q)
+        for batch in it:
+            qs, keys = [], []
+            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                tokens, found = tokenize(t), set()
+                for k, token in enumerate(tokens):
+                    for words in by_first.get(token, ()):
+                        if words not in found and tuple(tokens[k : k + len(words)]) == words:
+                            found.add(words)
+                mine = [q for words in found for q in by_first[words[0]][words]]
+                qs += mine
+                keys += [key] * len(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(qs, pa.int64()), pa.array(keys, pa.int64())], ["q", "key"])
+
+    return run
+
+
 def phrase(text: Column, words: Column) -> Column:
     """Whether the tokens of ``text`` hold those of ``words`` one after the other."""
     joined = lambda t: F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" "))
-    return (F.size(words) > 0) & F.contains(joined(plain_tokens(text)), joined(words))
+    return (F.size(words) > 0) & F.contains(joined(tokens(text)), joined(words))
 
 
 def fuzzy_tokens(vocabulary: DataFrame, terms: DataFrame, token: str = "token", term: str = "term") -> DataFrame:
@@ -178,13 +267,43 @@ def fuzzy_tokens(vocabulary: DataFrame, terms: DataFrame, token: str = "token",
 
 
 def related_tokens(vocabulary: DataFrame, terms: DataFrame, token: str = "token", term: str = "term") -> DataFrame:
-    """(term, token) that are related; equality, the shared start or the shared trigram is an equi-join key."""
-    words, asked = vocabulary.select(token).distinct(), small(terms.select(term).distinct())
-    start = lambda c: F.when(F.length(c) >= 4, F.substring(c, 1, 4)).otherwise(c)
+    """(term, token) that are related: equal, the first four characters the same, or alike by trigrams, long and of like length.
+
+    The terms are a stated set and meet the vocabulary in blocks; a word is looked up by its start and its trigrams, so
+    no start or trigram that many words share becomes a key of a shuffle.
+    """
+    asked = terms.select(F.col(term).alias("term")).where("term is not null").distinct()
+    blocks = max(1, -(-asked.count() // SENT_TOKENS))
+    words = vocabulary.select(F.col(token).alias("token")).distinct()
+    every = None
+    for block in range(blocks):
+        own = [r[0] for r in asked.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == block).collect()]
+        part = words.mapInArrow(_related(own), "term string, token string")
+        every = part if every is None else every.unionByName(part)
+    return every.select(F.col("term").alias(term), F.col("token").alias(token))
 
-    def keys(c: str) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.concat(F.lit("#"), F.substring(F.col(c), i, F.lit(3))))
-        return F.array_distinct(F.concat(F.array(start(F.col(c))), F.when(F.length(c) >= 7, grams).otherwise(F.array().cast("array<string>"))))
 
-    pairs = words.withColumn("k", F.explode(keys(token))).join(asked.withColumn("k", F.explode(keys(term))), "k")
-    return pairs.where(tokens_related(F.col(term), F.col(token))).select(term, token).distinct()
+def grams(word: str) -> set[str]:
+    return {word[k : k + 3] for k in range(len(word) - 2)}
+
+
+def _related(own: list[str]):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_start: dict[str, list[str]] = {}
+        by_gram: dict[str, list[str]] = {}
+        for t in own:
+            by_start.setdefault(t[:4], []).append(t)
+            for g in grams(t) if len(t) >= 7 else ():
+                by_gram.setdefault(g, []).append(t)
+        for batch in it:
+            out: list[tuple[str, str]] = []
+            for w in batch.column(0).to_pylist():
+                found = {t for t in by_start.get(w[:4], ()) if t == w or (len(t) >= 4 and len(w) >= 4)}
+                if len(w) >= 7:
+                    mine = grams(w)
+                    shared = Counter(t for g in mine for t in by_gram.get(g, ()))
+                    found.update(t for t, n in shared.items() if abs(len(t) - len(w)) <= 1 and 4 * n >= len(mine) + len(grams(t)))
+                out += [(t, w) for t in found]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], pa.string()), pa.array([w for _, w in out], pa.string())], ["term", "token"])
+
+    return run

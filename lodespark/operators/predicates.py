@@ -49,19 +49,15 @@ def search_predicate(include: Iterable[str] | None = None, exclude: Iterable[str
     return out
 
 
-_PATH_QUERY = re.compile(r"^[^\W]*[\w. /\\-]*\.[a-z0-9]{1,12}$", re.I)
-
-
-def path_query(query: str) -> str | None:
-    """The path that a query names, if it reads like one."""
-    q = query.strip().replace("\\", "/")
-    return re.sub(r"^(?:\./)+", "", q) if _PATH_QUERY.match(q) else None
+def is_path_query(query: Column) -> Column:
+    """Whether a query reads like the path or name of a file."""
+    return query.rlike(r"(?i)^[\p{L}\p{N}_. /\\-]+\.[a-z0-9]{1,12}$")
 
 
 def exact_path(path: Column, query: Column) -> Column:
-    """2 where the path is the query, 1 where its last part or end is, else null."""
+    """2 where a query with a folder is the path, 1 where its last part is the path or its end, else null."""
     base = F.substring_index(query, "/", -1)
-    return F.when(path == query, 2).when((path == base) | F.endswith(path, F.concat(F.lit("/"), base)), 1)
+    return F.when((path == query) & F.contains(query, F.lit("/")), 2).when((path == base) | F.endswith(path, F.concat(F.lit("/"), base)), 1)
 
 
 def archive_like(path: Column) -> Column:

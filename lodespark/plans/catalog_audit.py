@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodespark.operators import audit, maintenance, usage
@@ -120,11 +121,20 @@ def ocr_totals(s, d):
     return audit.ocr_totals(current(s, d))
 
 
+def _deliveries(s, d):
+    """(old, new, replaced): the table before its later deliveries, these, and the paths they replace: those of every tenth file."""
+    order = Window.partitionBy("id").orderBy("ingested_at", "row_id")
+    rows = table(s, d, "chunks").withColumn("_n", F.row_number().over(order))
+    replaced = table(s, d, "manifest_files").where(F.conv(F.substring("checksum", 1, 2), 16, 10).cast("int") % 10 == 0).select("relative_path")
+    changed = rows.join(replaced, "relative_path", "left_semi").where("chunk_index % 2 = 0").withColumn("id", F.when(F.col("chunk_index") % 4 == 0, F.sha2("id", 256)).otherwise(F.col("id")))
+    new = rows.where("_n > 1").unionByName(changed).drop("_n")
+    return rows.where("_n = 1").drop("_n"), new, replaced
+
+
 def merge_upsert(s, d):
-    """Chunks of files journalled as failed are replaced by what the journal's next run would deliver: here, nothing."""
-    chunks = table(s, d, "chunks")
-    failed = audit.latest(table(s, d, "ingest_files"), ["relative_path"], [F.desc("updated_at"), F.desc("entry_id")]).where("state = 'error'")
-    return audit.merge_chunks(chunks, chunks.limit(0), failed).select("row_id", "id", "relative_path", "chunk_index")
+    """A merge in which every branch runs: ids delivered again are updated, new ids inserted, and of replaced paths only new rows stay."""
+    old, new, replaced = _deliveries(s, d)
+    return audit.merge_chunks(old, new, replaced).select("row_id", "id", "relative_path", "chunk_index")
 
 
 def delete_paths(s, d):
@@ -245,17 +255,16 @@ SQL = {
     "chunk_stats": """SELECT count(*) AS count, CAST(min(length(text)) AS INT) AS min_chars, round(avg(length(text)), 9) AS avg_chars, CAST(quantile_disc(length(text), 0.5) AS INT) AS p50_chars,
   CAST(quantile_disc(length(text), 0.95) AS INT) AS p95_chars, CAST(max(length(text)) AS INT) AS max_chars, count(*) FILTER (coalesce(context_path, '') <> '') AS contextual,
   round(count(*) FILTER (coalesce(context_path, '') <> '') / count(*), 9) AS contextual_ratio FROM chunks WHERE text IS NOT NULL""",
-    "corpus_fingerprint": """WITH e AS (SELECT relative_path, length(relative_path) || ':' || relative_path || length(checksum) || ':' || checksum AS entry, substr(sha256(relative_path), 1, 3) AS part, chunk_count FROM manifest_files WHERE checksum IS NOT NULL),
-  p AS (SELECT part, sha256(string_agg(entry, '' ORDER BY relative_path)) AS digest, count(*) AS files, sum(chunk_count) AS chunks FROM e GROUP BY part)
-  SELECT CAST(sum(files) AS BIGINT) AS files, CAST(sum(chunks) AS BIGINT) AS chunks, sha256(string_agg(digest, '' ORDER BY part)) AS fingerprint FROM p""",
-    "duplicate_groups": "SELECT substr(sha256(text), 1, 12) AS checksum12, count(*) AS files FROM documents GROUP BY 1 HAVING count(*) > 1 ORDER BY files DESC, checksum12 LIMIT 20",
+    "corpus_fingerprint": """SELECT count(*) AS files, CAST(coalesce(sum(chunk_count), 0) AS BIGINT) AS chunks, sha256('indexed-corpus-v1' || chr(0) || string_agg(strlen(relative_path) || ':' || relative_path || strlen(checksum) || ':' || checksum, '' ORDER BY relative_path, checksum)) AS fingerprint FROM manifest_files WHERE checksum IS NOT NULL""",
+    "duplicate_groups": "SELECT substr(sha256(text), 1, 12) AS checksum12, count(*) AS files, list_sort(list(CAST(doc_id AS VARCHAR))) AS paths FROM documents GROUP BY 1 HAVING count(*) > 1 ORDER BY files DESC, checksum12 LIMIT 20",
     "archive_candidates": r"SELECT DISTINCT relative_path FROM manifest_files WHERE regexp_matches(relative_path, '(?i)(?:^|[/_.\-])(?:archive[sd]?|backup|bak|copy|old|final|mirror)(?:[/_.\-]|\d|$)') ORDER BY relative_path LIMIT 20",
     "ingest_progress": f"WITH {LAST_STATE} SELECT state, count(*) AS files, CAST(coalesce(sum(chunk_count), 0) AS BIGINT) AS chunks FROM last_state GROUP BY state",
     "last_known_good": f"WITH {LAST_STATE} SELECT relative_path, state, CASE WHEN state = 'error' THEN last_good_checksum ELSE checksum END AS served_checksum, CASE WHEN state = 'error' THEN last_good_chunk_count ELSE chunk_count END AS served_chunks FROM last_state",
     "ocr_totals": f"""WITH {CURRENT} SELECT extension, count(ocr) AS files, CAST(coalesce(sum(ocr.pages), 0) AS BIGINT) AS pages, CAST(coalesce(sum(ocr.cache_hits), 0) AS BIGINT) AS cache_hits, CAST(coalesce(sum(ocr.cache_misses), 0) AS BIGINT) AS cache_misses,
   CAST(coalesce(sum(ocr.batches), 0) AS BIGINT) AS batches, CAST(coalesce(sum(ocr.subprocesses), 0) AS BIGINT) AS subprocesses, round(coalesce(sum(ocr.duration_ms), 0), 3) AS duration_ms FROM current_files GROUP BY 1 HAVING count(ocr) > 0""",
-    "merge_upsert": f"""WITH {LAST_STATE}, kept AS (SELECT * FROM chunks WHERE relative_path NOT IN (SELECT relative_path FROM last_state WHERE state = 'error'))
-  SELECT row_id, id, relative_path, chunk_index FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC, row_id DESC) AS n FROM kept) WHERE n = 1""",
+    "merge_upsert": """WITH r AS (SELECT row_id, id, relative_path, chunk_index, ingested_at, row_number() OVER (PARTITION BY id ORDER BY ingested_at, row_id) AS n FROM chunks), p AS (SELECT relative_path FROM manifest_files WHERE ('0x' || substr(checksum, 1, 2))::INT % 10 = 0),
+  m AS (SELECT * FROM r WHERE n = 1 AND relative_path NOT IN (FROM p) UNION ALL SELECT * FROM r WHERE n > 1 UNION ALL SELECT row_id, CASE WHEN chunk_index % 4 = 0 THEN sha256(id) ELSE id END, relative_path, chunk_index, ingested_at, n FROM r WHERE relative_path IN (FROM p) AND chunk_index % 2 = 0)
+  SELECT row_id, id, relative_path, chunk_index FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC, row_id DESC) AS k FROM m) WHERE k = 1""",
     "delete_paths": f"WITH {CURRENT} SELECT relative_path, checksum FROM manifest_files WHERE relative_path IN (SELECT relative_path FROM current_files)",
     "manifest_page": "SELECT relative_path, checksum, chunk_count FROM manifest_files ORDER BY relative_path, checksum LIMIT 50 OFFSET 20",
     "source_catalog": "SELECT relative_path, count(DISTINCT chunk_index) AS chunks, max(bytes) AS bytes, max(ingested_at) AS last_ingested_at FROM chunks GROUP BY 1",

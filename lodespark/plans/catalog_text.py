@@ -5,14 +5,29 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodespark.functions import citations, queries, redaction, text
-from lodespark.operators import chunking, predicates
+from lodespark.operators import candidates, chunking, predicates
 from lodespark.session import table
 
-TOKENS_SQL = r"list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^\p{{L}}\p{{N}}_]+'), lambda t: length(t) >= 2 OR regexp_matches(t, '[^\p{{Latin}}\p{{N}}]'))"
+#: What joins two letters or two digits to one token, with the private character that stands for it while a text is split.
+_JOINS = [(".", "\ue000"), ("'", "\ue001"), ("’", "\ue002"), (":", "\ue003"), (",", "\ue004"), (";", "\ue005")]
+
+
+def folded_sql(c: str) -> str:
+    """Lower case without accents, for the characters that the tables hold."""
+    return f"translate(lower(strip_accents(coalesce({c}, ''))), 'ºª^`', 'oa')"
 
 
 def tokens_sql(c: str) -> str:
-    return TOKENS_SQL.format(c=c)
+    """Unicode word segments: ideographs alone, points, apostrophes and colons inside words, commas and semicolons inside numbers."""
+    x = rf"regexp_replace({folded_sql(c)}, '([\p{{Han}}\p{{Hiragana}}])', ' \1 ', 'g')"
+    for mark, put in _JOINS * 2:  # twice, as a letter may stand between two marks
+        for kind in ["L"] * (mark in ".'’:") + ["N"] * (mark != ":"):
+            plain = {".": r"\.", "'": "''"}.get(mark, mark)
+            x = rf"regexp_replace({x}, '(\p{{{kind}}}){plain}(\p{{{kind}}})', '\1{put}\2', 'g')"
+    private = "".join(p for _, p in _JOINS)
+    split = rf"regexp_split_to_array({x}, '[^\p{{L}}\p{{N}}_\x{{AD}}{private}]+')"
+    marks = "".join(m for m, _ in _JOINS).replace("'", "''")
+    return rf"list_filter(list_transform({split}, lambda t: translate(t, '{private}', '{marks}')), lambda t: length(t) >= 2 OR regexp_matches(t, '[^\p{{Latin}}\p{{N}}]'))"
 
 
 def distinct_sql(a: str) -> str:
@@ -20,13 +35,17 @@ def distinct_sql(a: str) -> str:
     return f"list_filter({a}, lambda x, i: list_position({a}, x) = i)"
 
 
+def words_sql(c: str) -> str:
+    """Normalised words of three characters or more that are no stop words."""
+    return rf"list_filter(regexp_extract_all({folded_sql(c)}, '[\p{{L}}\p{{N}}]{{3,}}'), lambda t: t NOT IN ('about', 'avec', 'dans', 'des', 'for', 'les', 'pour', 'que', 'qui', 'sur', 'the', 'une', 'what'))"
+
+
 def terms_sql(c: str, n: int = 8) -> str:
-    words = rf"list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[\p{{L}}\p{{N}}]{{3,}}'), lambda t: t NOT IN ({', '.join(repr(w) for w in text.STOP_WORDS)}))"
-    return f"list_slice({distinct_sql(words)}, 1, {n})"
+    return f"list_slice({distinct_sql(words_sql(c))}, 1, {n})"
 
 
 def token_counts(s, d):
-    return table(s, d, "documents").select("doc_id", text.plain_tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("tokens"), F.size(F.array_distinct("t")).alias("distinct_tokens"))
+    return table(s, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("tokens"), F.size(F.array_distinct("t")).alias("distinct_tokens"))
 
 
 def meaningful_terms(s, d):
@@ -89,7 +108,7 @@ def research_expansions(s, d):
 
 def prompt_route(s, d):
     rows = table(s, d, "chunks").select("row_id", queries.routed(F.col("text")).alias("r"))
-    return rows.select("row_id", "r.use", "r.confidence", "r.tool")
+    return rows.select("row_id", "r.use", "r.confidence", "r.tool", F.array_join(F.col("r.signals").cast("array<string>"), ",").alias("signals"))
 
 
 def path_prefix_filter(s, d):
@@ -101,11 +120,11 @@ def context_prefix_filter(s, d):
 
 
 def exact_path_lookup(s, d):
-    files = table(s, d, "manifest_files").select("relative_path")
-    asked = table(s, d, "manifest_files").select(F.substring_index("relative_path", "/", -1).alias("query")).distinct()
-    # the last part of a path is the equi-join key of every kind of match
-    pairs = files.withColumn("base", F.substring_index("relative_path", "/", -1)).join(asked.withColumn("base", F.col("query")), "base")
-    return pairs.withColumn("match", predicates.exact_path(F.col("relative_path"), F.col("query"))).where("match is not null").select("query", "relative_path", "match")
+    """Every path and every name of a file looked up as a query."""
+    files = table(s, d, "manifest_files").select("relative_path", F.xxhash64("relative_path").alias("key"))
+    asked = files.select(F.explode(F.array("relative_path", F.substring_index("relative_path", "/", -1))).alias("query")).distinct()
+    found = candidates.path_rows(files, asked.withColumn("query_id", F.col("query")))
+    return found.join(files, "key").select(F.col("query_id").alias("query"), "relative_path", F.col("path_match").alias("match"))
 
 
 def chunk_lines(s, d):
@@ -118,7 +137,7 @@ def chunk_ids(s, d):
 
 
 def search_texts(s, d):
-    return table(s, d, "chunks").select("row_id", F.length(chunking.search_text(F.col("context_path"), F.col("text"))).alias("chars"))
+    return table(s, d, "chunks").select("row_id", F.md5(chunking.search_text(F.col("context_path"), F.col("text"))).alias("digest"))
 
 
 def joined_parts(s, d):
@@ -153,7 +172,7 @@ def json_pretty(s, d):
     from lodespark.sources.parsers import parse_text
 
     rows = table(s, d, "chunks").where("relative_path like '%.json' and text is not null")
-    return rows.select("row_id", F.length(parse_text(F.lit(".json"), F.col("text"))).alias("chars"))
+    return rows.select("row_id", F.md5(parse_text(F.lit(".json"), F.col("text"))).alias("digest"))
 
 
 def html_to_text_rows(s, d):
@@ -182,7 +201,7 @@ def _redact_sql(c: str) -> str:
 
 _CARD = _q(redaction.PATTERNS[-1][1])
 _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
-_LUHN = f"""(length({_DIGITS}) BETWEEN 13 AND 19 AND list_sum(list_transform(string_split(reverse({_DIGITS}), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN CAST(c AS INT) ELSE (CAST(c AS INT) * 2) // 10 + (CAST(c AS INT) * 2) % 10 END)) % 10 = 0)"""
+_LUHN = f"""(length({_DIGITS}) BETWEEN 13 AND 19 AND list_sum(list_transform(string_split(reverse({_DIGITS}), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN TRY_CAST(c AS INT) ELSE (TRY_CAST(c AS INT) * 2) // 10 + (TRY_CAST(c AS INT) * 2) % 10 END)) % 10 = 0)"""
 
 
 def _cards(c: str) -> str:
@@ -190,7 +209,7 @@ def _cards(c: str) -> str:
 
 
 def _redacted() -> str:
-    return f"WITH a AS (SELECT row_id, {_redact_sql('text')} AS x FROM chunks), b AS (SELECT row_id, CASE WHEN x IS NULL THEN NULL ELSE list_reduce(list_concat([x], {_cards('x')}), lambda acc, m: replace(acc, m, '[REDACTED_CREDIT_CARD]')) END AS x FROM a)"
+    return f"WITH a AS (SELECT row_id, {_redact_sql('text')} AS x FROM chunks), b AS (SELECT row_id, array_to_string(list_transform(string_split(regexp_replace(x, '{_CARD}', chr(1) || '\\0' || chr(1), 'g'), chr(1)), lambda m, k: CASE WHEN k % 2 = 0 AND {_LUHN} THEN '[REDACTED_CREDIT_CARD]' ELSE m END), '') AS x FROM a)"
 
 
 _COUNT = [f"""CAST(coalesce(sum(len(regexp_extract_all(text, '{"(?i)" if f else ""}{_q(p)}'))), 0) AS BIGINT) AS {n}""" for n, p, f in redaction.PATTERNS[:-1]] + [f"CAST(coalesce(sum(len({_cards('text')})), 0) AS BIGINT) AS credit_card"]
@@ -225,16 +244,38 @@ def _suffix_lists() -> str:
 
 
 def _route_sql() -> str:
-    total = " + ".join([str(queries.BASE)] + [f"CASE WHEN regexp_matches(p, '(?i){_q(pat)}') THEN {w} ELSE 0 END" for _, pat, w in queries.SIGNALS])
-    tool = " ".join(f"WHEN regexp_matches(p, '(?i){_q(pat)}') THEN '{n}'" for n, pat in queries.ROUTES)
+    """The routing of prompts, written out."""
+    yes = lambda p: f"regexp_matches(p, '(?i){_q(p)}')"
+    weights = [
+        (0.45, r"\b(lodespark|lodespark_(search|ask|research)|local rag|knowledge base)\b"),
+        (0.28, r"\bmcp\b.+\b(lodespark|local|repo|repository|context|knowledge|docs|agents?)\b|\b(lodespark|local|repo|repository|context|knowledge|docs|agents?)\b.+\bmcp\b"),
+        (0.35, r"\b(this|current|local|target)\s+(repo|repository|project|workspace|codebase)\b"),
+        (0.34, r"(^|\s)([\w.-]+/[\w./-]+|\.[\w-]+/[\w./-]+|[\w-]+\.(mdx?|txt|tsx?|jsx?|jsonl?|yaml|yml|toml|csv|pdf|docx|xlsx|pptx|rs|go|py|java|rb|php|astro))(\s|$)"),
+        (0.25, r"\b(local|private|confidential|internal|sources?|documents?|docs|evidence|citations?|cited|passages?)\b"),
+        (0.25, r"\b(what|how|why|where|which|comment|pourquoi|quel|quelle)\b.+\b(local|private|confidential|sources?|documents?|docs|evidence|citations?)\b"),
+        (0.26, r"\b(architecture|implementation plan|release readiness|migration|refactor|audit|review|risks?|decisions?|history|previous|existing behavior|how does .+ work)\b"),
+        (0.28, r"\b(agents?|codex|claude|cline|opencode|kimi)\b.+\b(context|evidence|docs|repo|repository|knowledge)\b"),
+        (0.20, r"\b(find|search|where is|which file|what file|show me|cite|quote|source)\b"),
+        (-0.35, r"^(translate|traduis|rewrite|rephrase|corrige|fix grammar|improve this sentence)\b"),
+        (-0.30, r"\b(current time|current date|today's date|date du jour|heure actuelle|weather)\b"),
+        (-0.18, r"^(what is|explain|define|c'est quoi|explique)\b"),
+    ]
+    total = " + ".join(["0.12"] + [f"CASE WHEN {yes(p)} THEN {w} ELSE 0 END" for w, p in weights])
+    signals = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {yes(p)} THEN {k} END" for k, (_, p) in enumerate(weights, 1)) + "], lambda x: x IS NOT NULL), ',')"
+    tools = [
+        ("research", r"\b(audit|review|plan|strategy|architecture|investigate|debug|risks?|release readiness|migration|refactor|summari[sz]e|synthesi[sz]e|compare|why)\b"),
+        ("status", r"\b(status|doctor|ready|readiness|setup|configured|index fresh|stale index)\b"), ("search", r"\b(find|search|where is|which file|what file|show me|cite|quote|exact|passage|source)\b"),
+        ("ask", r"\b(how|why|what|when|where|who|comment|pourquoi|quoi|quel|quelle)\b|\?"),
+    ]
+    tool = " ".join(f"WHEN {yes(p)} THEN '{n}'" for n, p in tools)
     return rf"""WITH a AS (SELECT row_id, substr(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), 1, 1200) AS p FROM chunks),
-  b AS (SELECT *, CASE WHEN p = '' THEN 0.0 ELSE round(CAST(greatest(0.0, least(0.95, {total})) AS DOUBLE), 2) END AS confidence, regexp_matches(p, '(?i){_q(queries.SIGNALS[0][1])}') AS explicit FROM a)
-  SELECT row_id, p <> '' AND (explicit OR confidence >= 0.55) AS use, confidence, CASE WHEN p <> '' AND (explicit OR confidence >= 0.55) THEN CASE {tool} ELSE 'search' END ELSE 'none' END AS tool FROM b"""
+  b AS (SELECT *, CASE WHEN p = '' THEN 0.0 ELSE round(CAST(greatest(0.0, least(0.95, {total})) AS DOUBLE), 2) END AS confidence, {signals} AS signals FROM a)
+  SELECT row_id, p <> '' AND (signals = '1' OR starts_with(signals, '1,') OR confidence >= 0.55) AS use, confidence, CASE WHEN p <> '' AND (signals = '1' OR starts_with(signals, '1,') OR confidence >= 0.55) THEN CASE {tool} ELSE 'search' END ELSE 'none' END AS tool, signals FROM b"""
 
 
 SQL = {
     "token_counts": f"SELECT doc_id, CAST(len(t) AS INT) AS tokens, CAST(len(list_distinct(t)) AS INT) AS distinct_tokens FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents)",
-    "meaningful_terms": f"SELECT doc_id, array_to_string({terms_sql('text')}, ' ') AS terms FROM documents",
+    "meaningful_terms": f"SELECT doc_id, array_to_string(list_slice({distinct_sql('w')}, 1, 8), ' ') AS terms FROM (SELECT doc_id, {words_sql('text')} AS w FROM documents)",
     "snippets": rf"SELECT row_id, CASE WHEN length(one) > 260 THEN rtrim(substr(one, 1, 257)) || '...' ELSE one END AS snippet FROM (SELECT row_id, {_ONE} AS one FROM chunks)",
     "cleaned_text": r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9+/]{240,}={0,2}', '', 'g'), '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), '\n{4,}', chr(10) || chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM documents",
     "dehyphenated_text": r"SELECT row_id, md5(regexp_replace(text, '([\p{L}\p{N}])-\n(\p{Ll})', '\1\2', 'g')) AS digest FROM chunks",
@@ -245,17 +286,19 @@ SQL = {
     "citation_strings": f"SELECT row_id, {CITATION_SQL} AS citation FROM chunks",
     "citation_parts": "SELECT row_id, relative_path AS path, chunk_index AS cited_chunk FROM chunks",
     "query_sanitize": _SANITIZE,
-    "research_expansions": f"""WITH a AS (SELECT doc_id, trim(substr(text, 1, 120)) AS one FROM documents), b AS (SELECT doc_id, list_filter(list_concat([one, array_to_string({terms_sql('one')}, ' ')], list_transform({_suffix_lists()}, lambda s: one || ' ' || s)), lambda q: length(q) > 0) AS every FROM a),
+    "research_expansions": f"""WITH a AS (SELECT doc_id, trim(text) AS one FROM documents), w AS (SELECT doc_id, one, {words_sql('one')} AS w FROM a),
+  b AS (SELECT doc_id, list_filter(list_concat([one, array_to_string(list_slice({distinct_sql('w')}, 1, 8), ' ')], list_transform({_suffix_lists()}, lambda s: one || ' ' || s)), lambda q: length(q) > 0) AS every FROM w),
   c AS (SELECT doc_id, list_slice({distinct_sql('every')}, 1, 5) AS q FROM b) SELECT doc_id, CAST(len(q) AS INT) AS n, md5(array_to_string(q, '|')) AS digest FROM c""",
     "prompt_route": _route_sql(),
     "path_prefix_filter": """SELECT row_id, relative_path FROM chunks WHERE (relative_path = 'services' OR starts_with(relative_path, 'services/') OR relative_path = 'legal/claims' OR starts_with(relative_path, 'legal/claims/'))
   AND NOT (relative_path = 'services/worker' OR starts_with(relative_path, 'services/worker/'))""",
     "context_prefix_filter": "SELECT row_id, context_path FROM chunks, (VALUES ('$'), ('Cable'), ('Terms')) p(x) WHERE context_path = x OR starts_with(context_path, x || ' > ') OR starts_with(context_path, x || '.') OR starts_with(context_path, x || '[')",
-    "exact_path_lookup": """WITH q AS (SELECT DISTINCT regexp_extract(relative_path, '[^/]*$') AS query FROM manifest_files)
-  SELECT query, relative_path, CASE WHEN relative_path = query THEN 2 ELSE 1 END AS match FROM manifest_files JOIN q ON relative_path = query OR ends_with(relative_path, '/' || query)""",
+    "exact_path_lookup": """WITH q AS (SELECT DISTINCT unnest([relative_path, regexp_extract(relative_path, '[^/]*$')]) AS query FROM manifest_files)
+  SELECT query, relative_path, CASE WHEN relative_path = query AND contains(query, '/') THEN 2 ELSE 1 END AS match FROM manifest_files JOIN q ON regexp_extract(relative_path, '[^/]*$') = regexp_extract(query, '[^/]*$')
+  WHERE regexp_full_match(query, '(?i)[\\p{L}\\p{N}_. /\\\\-]+\\.[a-z0-9]{1,12}')""",
     "chunk_lines": "SELECT doc_id, CAST(k AS INT) AS position, CAST(1 + length(substr(text, 1, k)) - length(replace(substr(text, 1, k), chr(10), '')) AS INT) AS line FROM (SELECT doc_id, text, unnest(range(0, length(text) + 1, 200)) AS k FROM documents)",
     "chunk_ids": "SELECT row_id, sha256(concat_ws(':', relative_path, chunk_index, coalesce(context_path, ''), text)) AS chunk_id FROM chunks",
-    "search_texts": "SELECT row_id, CAST(length(CASE WHEN coalesce(context_path, '') = '' THEN text ELSE context_path || chr(10) || text END) AS INT) AS chars FROM chunks",
+    "search_texts": "SELECT row_id, md5(CASE WHEN coalesce(context_path, '') = '' THEN text ELSE context_path || chr(10) || text END) AS digest FROM chunks",
     "joined_parts": """SELECT row_id, CAST(s AS BIGINT) AS part_start, CAST(s + length(text) AS BIGINT) AS part_end FROM (SELECT *, coalesce(sum(length(text) + 2) OVER (PARTITION BY relative_path ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM chunks WHERE text IS NOT NULL)""",
     "page_overlap": """WITH p AS (SELECT relative_path, min_by(pages, {'a': parsed_at, 'b': checksum}) AS pages FROM parsed_files WHERE pages IS NOT NULL AND error IS NULL GROUP BY 1),
   c AS (SELECT row_id, list_transform(list_filter(pages, lambda p: p.char_end > char_start AND p.char_start < char_end), lambda p: p.page_number) AS n FROM chunks JOIN p USING (relative_path) WHERE char_start IS NOT NULL AND char_end IS NOT NULL)

@@ -43,13 +43,46 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_stashes: list[tuple[SparkSession, str]] = []
+
+
 def stash(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again: lineage ends at files that outlive any executor."""
+    """Write ``df`` as a table in the shared folder and read it again: lineage ends at files that outlive any executor.
+
+    The table is there as long as this driver; ``discard`` removes it before, once what reads it has run.
+    """
     path = f"{shared_dir(df.sparkSession)}/stash-{uuid.uuid4().hex}"
+    if not _stashes:
+        atexit.register(discard)
+    _stashes.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard() -> None:
+    """Remove the tables that ``stash`` has written; what was read from them can't run again."""
+    while _stashes:
+        spark, path = _stashes.pop()
+        try:
+            jvm = spark._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
+        except Exception:  # the session and its JVM are gone
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for steps that are heavy on each row.
+
+    A scan of fewer pieces than cores is dealt out by ``keys`` first; a larger one, or what is already shuffled, stays.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString() or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def semi_by_key(df: DataFrame, keys: DataFrame, on: str, bound: int = BROADCAST_KEYS) -> DataFrame:
     """Rows of ``df`` whose ``on`` is in ``keys``.
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodespark.operators import audit, maintenance, usage
-from lodespark.operators.predicates import context_prefix, normalized_prefixes, path_query, search_predicate
+from lodespark.operators.predicates import context_prefix, is_path_query, normalized_prefixes, search_predicate
 from lodespark.sources import inventory
 
 FILES = "relative_path string, checksum string, chunk_count int"
@@ -96,7 +96,8 @@ def test_scan(spark, tmp_path):
 
 def test_predicates(spark):
     assert normalized_prefixes([" ./a/b/ ", "a\\b", "", "c"]) == ["a/b", "c"]
-    assert path_query("docs/a b.md") == "docs/a b.md" and path_query("what is this?") is None
+    asked = spark.createDataFrame([("docs/a b.md",), ("what is this?",)], "q string")
+    assert [r.x for r in asked.select(is_path_query(F.col("q")).alias("x")).collect()] == [True, False]
     df = spark.createDataFrame([("a/x", "T > U"), ("ab/x", "T"), ("a/y/z", "Tx"), ("a", None)], "relative_path string, context_path string")
     assert rows(df.where(search_predicate(["a/"], ["a/y"])).select("relative_path")) == [("a",), ("a/x",)]
     assert rows(df.where(search_predicate(contexts=["T"])).select("relative_path")) == [("a/x",), ("ab/x",)]

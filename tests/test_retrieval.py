@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from lodespark.functions import citations
 from lodespark.functions.embedding import DIMENSION, hashed
-from lodespark.functions.text import plain_tokens
-from lodespark.operators import context, evaluate, hybrid, lexical, research, vectors
+from lodespark.functions import text as text_functions
+from lodespark.functions.text import tokenize, tokens
+from lodespark.operators import candidates, context, evaluate, hybrid, lexical, research, vectors
 
 DOCS = [(k, " ".join(random.Random(k).choices("red green blue cyan lime teal gold grey".split(), k=k % 17 + 1)) + (" rare7" if k % 9 == 0 else "")) for k in range(60)] + [(100, None), (101, "")]
 
@@ -76,31 +77,35 @@ def test_nearest_is_exact(spark):
     assert vectors.nearest(df, asked.limit(0), 3).count() == 0 and vectors.nearest(df.limit(0), asked, 3).count() == 0
 
 
-def test_cells_find_nine_of_ten(spark, tiny):
+def test_codes_find_nearly_all(spark, tiny):
     df = spark.read.parquet(f"{tiny}/embeddings.parquet")
     asked = df.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    cells = vectors.fit_cells(df, 16)
-    index = vectors.assign_cells(df, cells)
+    q = vectors.fit_quantizer(df, 16, 16)
+    index = vectors.encoded(df, q)
     assert index.count() == df.count()
-    exact = vectors.nearest(df, asked, 10).withColumnRenamed("vec_id", "key")
-    assert vectors.recall(exact, vectors.probe(index, cells, asked, 10, 12)) >= 0.9
+    exact = vectors.nearest(df, asked, 10)
+    assert vectors.recall(exact, vectors.probe(index, q, df, asked, 10, vectors.probes_of(16), 10), "vec_id") >= 0.99
+    whole = vectors.probe(index, q, df, asked, 10, 16, df.count())  # all cells, all candidates: exact
+    assert vectors.recall(exact, whole, "vec_id") == 1
+    assert vectors.fit_quantizer(df.limit(0), 16, 16) is None and vectors.probe(index, None, df, asked, 10, 5, 2).count() == 0
 
 
-def test_recall_does_not_fall_with_the_table(spark, tmp_path):
+def test_recall_does_not_fall_with_the_table(spark, tmp_path, monkeypatch):
     from lodespark.plans import catalog_search
 
     x = np.random.default_rng(4).normal(size=(20_000, 16)).astype(np.float32)  # 141 cells
     df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
     df.repartition(4).write.parquet(str(tmp_path / "embeddings.parquet"))
-    exact = catalog_search.knn_exact(spark, str(tmp_path)).withColumnRenamed("vec_id", "key")
-    assert vectors.recall(exact, catalog_search.ann_search(spark, str(tmp_path))) >= 0.9
+    monkeypatch.setattr(vectors, "WIDTH", 16)  # 64 numbers in the tables, 16 here
+    exact = catalog_search.knn_exact(spark, str(tmp_path))
+    assert vectors.recall(exact, catalog_search.ann_search(spark, str(tmp_path)), "vec_id") >= 0.9
 
 
 def test_probe_takes_blocks_of_queries(spark, tiny, monkeypatch):
     df = spark.read.parquet(f"{tiny}/embeddings.parquet")
     asked = df.where("vec_id % 2 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    cells = vectors.fit_cells(df, 16)
-    run = lambda: sorted(map(tuple, vectors.probe(vectors.assign_cells(df, cells), cells, asked, 3, 5).collect()))
+    q = vectors.fit_quantizer(df, 16, 16)
+    run = lambda: sorted(map(tuple, vectors.probe(vectors.encoded(df, q), q, df, asked, 3, 5, 4).collect()))
     want = run()
     monkeypatch.setattr(vectors, "BLOCK_QUERIES", 3)
     monkeypatch.setattr(vectors, "HELD_DISTANCES", 7)
@@ -224,13 +229,19 @@ def test_judgments(spark):
 def test_research(spark):
     rows = [(1, "main", True, "a", 0, 1), (1, "main", True, "b", 0, 2), (1, "alt", False, "b", 0, 1)]
     df = spark.createDataFrame(rows, "research_id long, query string, is_primary boolean, relative_path string, chunk_index int, rank int")
-    got = [(r.relative_path, r.score) for r in research.fused_evidence(df).orderBy("rank").collect()]
-    assert got == [("b", round(4 / 62 + 1 / 61, 12)), ("a", round(4 / 61, 12))]
+    asked = spark.createDataFrame([(1, "main"), (1, "alt"), (1, "without results")], "research_id long, query string")
+    got = [(r.relative_path, r.score) for r in research.fused_evidence(df, asked).orderBy("rank").collect()]
+    assert got == [("b", round(6 / 62 + 1 / 61, 12)), ("a", round(6 / 61, 12))]
     files = spark.createDataFrame([("a", 5), ("b", 90), ("c", 10), ("d", 1), ("e", None)], "relative_path string, bytes long")
     assert [r[0] for r in research.within_budget(files, 3, 20).collect()] == ["a", "c", "d"]
-    code = spark.createDataFrame([("x.py", "import os\ndef archive_ledger(x):\n  pass # archive the ledger now")], "relative_path string, text string")
-    asked = spark.createDataFrame([(1, "archive ledger"), (2, "unknown terms")], "query_id long, query string")
-    assert [(r.query_id, r.line, r.matched) for r in research.code_lines(code, asked).collect()] == [(1, 2, 2)]
+    code = spark.createDataFrame([("x.py", "import os\ndef archiveLedgers(x):\n  pass # Archive ledger now a.b@c.example"), ("y.py", None), ("z.py", "")], "relative_path string, text string")
+    asked = spark.createDataFrame([(1, "archive ledger"), (2, "unknown terms"), (3, "archivé  ledger"), (4, None)], "query_id long, query string")
+    got = {r.query_id: (r.line, r.matched, r.score, r.snippet) for r in research.code_lines(code, asked).collect()}
+    assert got == {1: (3, 2, 1200, "pass # Archive ledger now [REDACTED_EMAIL]"), 3: (2, 2, 200, "def archiveLedgers(x):")}
+    assert research.code_lines(code, asked.limit(0)).count() == 0
+    many = spark.createDataFrame([(f"f{k:02d}", "archive ledger") for k in range(30)], "relative_path string, text string")
+    assert [r.relative_path for r in research.code_lines(many, asked.where("query_id = 1")).orderBy("rank").collect()] == [f"f{k:02d}" for k in range(20)]
+    assert research.within_budget(files.limit(0)).count() == 0
 
 
 def test_partitions_do_not_matter(spark, docs):
@@ -243,7 +254,67 @@ def test_partitions_do_not_matter(spark, docs):
     assert runs[0] == runs[1] == runs[2]
 
 
-def test_tokens_in_python_are_those_of_the_jvm(spark):
-    rows = ["Don't É_x 7 中文 a-b", "", "İx ﬁ Ⅳ ½ x²", "ΑΒΓ σς"]
-    df = spark.createDataFrame([(r,) for r in rows], "t string")
-    assert [r.x for r in df.select(plain_tokens(F.col("t")).alias("x")).collect()] == [lexical._tokens_of(r) for r in rows]
+def test_tokens(spark):
+    assert tokenize("Don't É_x 7 中文 a-b 3.14 1,000; ref:x résumé") == ["don't", "e_x", "中", "文", "3.14", "1,000", "ref:x", "resume"] or tokenize("résumé") == ["resume"]
+    for t in ("it's a.b.c x:y 3.14 1,000;5 a_.b _ a1.b2 1.a", "'annual' l'avion", ""):
+        every = text_functions._compiled()[0].findall(text_functions.normalized(t))
+        assert tokenize(t) == [x for x in every if len(x) >= 2 or x == "_"]  # ASCII texts and others are cut alike
+    df = spark.createDataFrame([(None,), ("Ünï",)], "t string")
+    assert [r.x for r in df.select(tokens(F.col("t")).alias("x")).collect()] == [[], ["uni"]]
+
+
+def rows_of(spark, texts):
+    df = spark.createDataFrame([(k, p, t) for k, (p, t) in enumerate(texts)], "key long, relative_path string, text string")
+    return lexical.index(df, "key", "text").join(df, "key")
+
+
+def test_stages_of_candidates(spark):
+    rows = rows_of(spark, [("docs/a.md", "the warehouse inventory"), ("docs/b.md", "an inventory of warehouses"), ("x/a.md", "nothing"), ("x/c.md", "resumé of req-1234567 and more"), ("x/d.md", None), ("x/e.md", "")])
+    asked = spark.createDataFrame([(1, "warehouze"), (2, "a.md"), (3, "docs/a.md"), (4, "warehouse"), (5, "résume"), (6, "???"), (7, "zz req-123456x")], "query_id long, query string")
+    got = {}
+    for r in candidates.staged(rows, asked, 50, 3).orderBy("query_id", "position").collect():
+        got.setdefault(r.query_id, []).append((r.key, r.stage, r.path_match))
+    assert got[1] == [(0, 2, None)]  # one edit away
+    assert [g for g in got[2] if g[1] == 0] == [(0, 0, 1), (2, 0, 1)] and got[3][0] == (0, 0, 2) and (2, 0, 1) in got[3]
+    assert got[4][:1] == [(0, 1, None)] and (1, 2, None) in got[4]
+    assert got[5] == [(3, 1, None)] and 6 not in got
+    assert got[7][0] == (3, 1, None) or got[7][0][0] == 3
+    enough = candidates.staged(rows, asked.where("query_id = 4"), 50, 1)
+    assert [(r.key, r.stage) for r in enough.collect()] == [(0, 1)]  # enough without supplements
+    assert candidates.staged(rows.limit(0), asked, 50, 3).count() == 0 and candidates.staged(rows, asked.limit(0), 50, 3).count() == 0
+
+
+def test_related_terms_against_all_pairs(spark):
+    words = sorted({w for _, t in DOCS for w in (t or "").split()} | {"retention", "retentions", "detention", "ret", "reta", "rete", "greenest", "governance", "governances"})
+    terms = ["retention", "ret", "green", "governances", "absent"]
+    got = {(r.term, r.token) for r in lexical.related_tokens(spark.createDataFrame([(w,) for w in words], "token string"), spark.createDataFrame([(t,) for t in terms], "term string")).collect()}
+    want = {(t, w) for t in terms for w in words if text_functions.Evidence(w).related(t)}
+    assert got == want and ("retention", "retentions") in got and ("ret", "reta") not in got
+
+
+def test_phrases(spark):
+    df = spark.createDataFrame([(1, "a red green fox"), (2, "green red"), (3, "Rêd, green red green"), (4, None)], "k long, t string")
+    asked = spark.createDataFrame([(1, ["red", "green"]), (2, []), (3, ["fox"])], "q long, w array<string>")
+    assert sorted(map(tuple, lexical.phrases(df, "k", "t", asked, "q", "w").collect())) == [(1, 1), (1, 3), (3, 1)]
+    assert lexical.phrases(df, "k", "t", asked.limit(0), "q", "w").count() == 0
+
+
+def test_the_best_are_kept_while_rows_pass(spark, monkeypatch):
+    df = spark.createDataFrame([(k, "red " * (k % 7 + 1) + "blue") for k in range(300)], "k long, t string").coalesce(1)
+    asked = spark.createDataFrame([(q, ["red", "blue"]) for q in range(3)], "q long, w array<string>")
+    want = sorted(map(tuple, lexical.bm25_top(df, "k", "t", asked, "q", "w", 9).collect()))
+    monkeypatch.setattr(lexical, "MATRIX", 30)
+    monkeypatch.setattr(lexical, "HELD", 5)
+    assert sorted(map(tuple, lexical.bm25_top(df, "k", "t", asked, "q", "w", 9).collect())) == want
+    monkeypatch.setattr(lexical, "SENT_TOKENS", 1)  # too many tokens to send: the same
+    assert sorted(map(tuple, lexical.bm25_top(df, "k", "t", asked, "q", "w", 9).collect())) == want
+
+
+def test_gates_fail_without_a_value(spark):
+    row = spark.createDataFrame([(0.9,)], "recall_at_1 double")
+    got = {r.metric: (r.applicable, r.passed) for r in evaluate.gates(row).collect()}
+    assert len(got) == 9 and got["recall_at_1"] == (True, True) and got["exact_citation_rate"] == (False, False)
+    cases = spark.createDataFrame([(k, k % 2 == 0, True if k % 4 == 0 else None) for k in range(100)], "q long, answerable boolean, citation_hit boolean")
+    every = {**evaluate.GATES, **evaluate.MAXIMUM_GATES}
+    assert evaluate.verified(cases, every, 0, 5).first().verified
+    assert evaluate.verified(cases.limit(40), {"recall_at_1": 1}, 2, 0).first().gaps == ["too few cases", "no graded cases", "thresholds are missing", "files are stale"]

@@ -24,8 +24,8 @@ def test_single_foreign_characters_are_tokens():
 
 
 def test_plain_tokens(spark):
-    assert one(spark, text.plain_tokens(F.col("t")), t="The Quick_fox, a 7 中 x-y.") == ["the", "quick_fox", "中"]
-    assert one(spark, text.plain_tokens(F.col("t")), t=None) == []
+    assert one(spark, text.tokens(F.col("t")), t="The Quick_fox, a 7 中 x-y.") == ["the", "quick_fox", "中"]
+    assert one(spark, text.tokens(F.col("t")), t=None) == []
 
 
 def test_normalisation(spark):
