@@ -63,7 +63,7 @@ def test_config():
 def test_cards_are_replaced_at_their_place_only(spark):
     texts = ["4111111111111111 and 94111111111111111x", "94111111111111111x then 4111111111111111", "\ufdd0 4111111111111111 \ufdd0", "4111111111111112", None, ""]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    got = [r.x for r in df.select(redaction.redact(F.col("t")).alias("x")).collect()]
+    got = [r.x for r in df.select(R.redact(F.col("t")).alias("x")).collect()]
     assert got == ["[REDACTED_CREDIT_CARD] and 94111111111111111x", "94111111111111111x then [REDACTED_CREDIT_CARD]", "\ufdd0 [REDACTED_CREDIT_CARD] \ufdd0", "4111111111111112", None, ""]
-    both = [r.x.text for r in df.select(redaction.redact_with_lines(F.col("t")).alias("x")).collect()]
+    both = [r.x.text for r in df.select(R.redact_with_lines(F.col("t")).alias("x")).collect()]
     assert both == got
