@@ -1,8 +1,8 @@
 """Personal data in free text: found in a normalised reading of the text, replaced at the source characters.
 
-``Reading`` is the output of a transducer with an offset map: full-width and look-alike characters, zero-width
-characters, character references, spelled digits and written-out at and dot signs become what they stand for, and every
-normalised character knows the source characters it came from. Identifiers are detected in the reading; where they have
+``Reading`` is the output of a transducer with an offset map: full-width, mathematical, enclosed and look-alike characters,
+digits of other scripts, zero-width characters, character references, digits spelled in the eight languages of the texts
+and written-out at and dot signs become what they stand for, and every normalised character knows the source characters it came from. Identifiers are detected in the reading; where they have
 check digits a number that fails them is none.
 
 Null texts stay null, empty ones empty; texts are read whole.
@@ -15,37 +15,68 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodespark.session import spread
+
 KINDS = ("email", "phone", "id_number", "address", "name")
 
 # ---- reading ---------------------------------------------------------------------------------------------------------
 
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKES = str.maketrans(
-    "АВЕКМНОРСТУХаеорсухіјѕԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧο",
-    "ABEKMHOPCTYXaeopcyxijsdqwABEZHIKMNOPTYXo",
+    "АВЕКМНОРСТУХаеорсухіјѕԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοօսոհɑɡı",
+    "ABEKMHOPCTYXaeopcyxijsdqwABEZHIKMNOPTYXoounhagi",
 )
-#: Digits as words.
-SPELLED = {w: str(d) for d, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
-_DIGIT_WORD = "|".join(SPELLED)
+#: Digits as words, zero to nine, in the languages of the texts; the last are other words for some.
+_DIGIT_WORDS = [
+    "zero one two three four five six seven eight nine", "zéro un deux trois quatre cinq six sept huit neuf", "null eins zwei drei vier fünf sechs sieben acht neun",
+    "cero uno dos tres cuatro cinco seis siete ocho nueve", "zero um dois três quatro cinco seis sete oito nove", "zero uno due tre quattro cinque sei sette otto nove",
+    "nul een twee drie vier vijf zes zeven acht negen", "零 一 二 三 四 五 六 七 八 九",
+]
+SPELLED = {w: str(d) for words in _DIGIT_WORDS for d, w in enumerate(words.split())} | {"oh": "0", "zwo": "2", "uma": "1", "duas": "2", "une": "1", "〇": "0", "幺": "1"}
+_IDEOGRAPHS = "".join(w for w in SPELLED if not w.isascii() and len(w) == 1)
+_DIGIT_WORD = "|".join(sorted((w for w in SPELLED if w not in _IDEOGRAPHS), key=lambda w: (-len(w), w)))
+_TIMES = {"double": 2, "doppel": 2, "doble": 2, "doppio": 2, "dubbel": 2, "triple": 3}
+_MORE = rf"(?:(?:{'|'.join(_TIMES)})[ -])?"
+#: Format and zero-width characters, full-width, mathematical and enclosed ones, look-alikes, and digits of other scripts.
+_ODD_CHARACTER = r"[\u200b-\u200d\u2060\ufeff\u00ad]|[！-～]|[\U0001d400-\U0001d7ff\u2460-\u24ff]|[Ͱ-ϿЀ-ԯօսոհɑɡı]|(?![0-9])\d"
 _RULES = re.compile(
     r"(?P<entity>&(?:#64|#x40|commat);)"
     r"|(?P<dotentity>&(?:#46|#x2e|period);)"
-    r"|(?P<at>\s*[\(\[\{<]\s*(?:at|ät|@)\s*[\)\]\}>]\s*)"
-    r"|(?P<dot>\s*[\(\[\{<]\s*(?:dot|punkt|point|punto|\.)\s*[\)\]\}>]\s*)"
+    r"|(?P<at>\s*[\(\[\{<]\s*(?:at|ät|arobase|arroba|chiocciola|@)\s*[\)\]\}>]\s*)"
+    r"|(?P<dot>\s*[\(\[\{<]\s*(?:dot|punkt|point|punto|ponto|punt|\.)\s*[\)\]\}>]\s*)"
     r"|(?P<atdot>(?<=[\w])\s+at\s+(?=[\w-]+(?:\s+dot\s+[\w-]+)+\b))"
     r"|(?P<dotword>(?<=[\w])\s+dot\s+(?=[\w-]+))"
     r"|(?P<spaced>(?<=\w)\s?[@＠]\s(?=\w)|(?<=\w)\s[@＠](?=\w+[\w-]*\.))"
-    r"|(?P<digits>(?<![\w-])(?:(?:double|triple)[ -])?(?:" + _DIGIT_WORD + r")(?:[ ,-]+(?:(?:double|triple)[ -])?(?:" + _DIGIT_WORD + r")){5,}(?![\w-]))"
-    r"|(?P<odd>[​-‍⁠﻿­]|[！-～]|[Ͱ-ϿЀ-ԯ])",
+    rf"|(?P<digits>(?<![\w-]){_MORE}(?:{_DIGIT_WORD})(?:[ ,-]+{_MORE}(?:{_DIGIT_WORD})){{5,}}(?![\w-])|[{_IDEOGRAPHS}]{{7,}})"
+    rf"|(?P<odd>{_ODD_CHARACTER})",
     re.I,
 )
-_BRACKETED = re.compile(r"[\(\[\{<]\s*(?:at|ät|@|dot|punkt|point|punto)\s*[\)\]\}>]|&(?:#|commat|period)", re.I)
-_ODD = re.compile(r"[​-‍⁠﻿­！-～Ͱ-ϿЀ-ԯ]")
-_TWO_DIGITS = re.compile(rf"(?<![\w-])(?:{_DIGIT_WORD})[ ,-]+(?:double|triple|{_DIGIT_WORD})\b", re.I)
+_BRACKETED = re.compile(r"[\(\[\{<]\s*(?:at|ät|arobase|arroba|chiocciola|@|dot|punkt|point|punto|ponto|punt)\s*[\)\]\}>]|&(?:#|commat|period)", re.I)
+_ODD = re.compile(_ODD_CHARACTER)
+_digit_words = None
+
+
+def _spells_digits(low: str) -> bool:
+    """Whether six digits stand in a text as words, the least that a number is spelled with."""
+    global _digit_words
+    if _digit_words is None:
+        _digit_words = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for word in SPELLED:
+            _digit_words.add_word(word)
+        _digit_words.make_automaton()
+    found = 0
+    for end, length in _digit_words.iter(low):
+        after, before = low[end + 1 : end + 2], low[end - length : end - length + 1]
+        if low[end] in _IDEOGRAPHS or not (after.isalnum() or (end >= length and before.isalnum())):
+            found += 1
+            if found >= 6:
+                return True
+    return False
 
 
 def _disguised(text: str) -> bool:
@@ -57,7 +88,7 @@ def _disguised(text: str) -> bool:
         return True
     if not text.isascii() and _ODD.search(text):
         return True
-    return sum(w in low for w in SPELLED) > 2 and _TWO_DIGITS.search(text) is not None
+    return _spells_digits(low)
 
 
 class Reading:
@@ -87,18 +118,18 @@ class Reading:
                 put(".", m.start(), m.end())
             elif kind == "digits":
                 times = 1
-                for w in re.finditer(r"[a-z]+", m[0], re.I):
+                for w in re.finditer(rf"[{_IDEOGRAPHS}]|[^\W\d_]+", m[0]):
                     word = w[0].lower()
-                    if word in ("double", "triple"):
-                        times = 2 if word == "double" else 3
+                    if word in _TIMES:
+                        times = _TIMES[word]
                         continue
                     put(SPELLED[word] * times, m.start() + w.start(), m.start() + w.end())
                     times = 1
             else:
-                new = m[0].translate(LOOKALIKES)
-                new = unicodedata.normalize("NFKC", new) if "！" <= new <= "～" else new
-                if unicodedata.category(new[0]) != "Cf":
-                    put(new[0], m.start(), m.end())
+                if unicodedata.category(m[0]) == "Nd":
+                    put(str(unicodedata.digit(m[0])), m.start(), m.end())
+                elif unicodedata.category(m[0]) != "Cf":
+                    put(unicodedata.normalize("NFKC", m[0]).translate(LOOKALIKES), m.start(), m.end())
         for k in range(at, len(text)):
             put(text[k], k, k + 1)
         self.text, self.starts, self.ends = "".join(out), starts, ends
@@ -145,7 +176,7 @@ PHONE = re.compile(
     re.I,
 )
 #: A number without any grouping; taken only where it was spelled in words.
-SPOKEN = re.compile(r"(?<![\w+.@#-])\d{9,13}(?![\w@-]|\.\d)")
+SPOKEN = re.compile(r"(?<![A-Za-z0-9_+.@#-])\d{9,13}(?![A-Za-z0-9_@-]|\.\d)")
 SSN = re.compile(r"(?<![\w-])\d{3}([- ])\d{2}\1\d{4}(?![\w-])")
 NINO = re.compile(r"(?<![\w-])[A-Z]{2}([ -]?)\d{2}\1\d{2}\1\d{2}\1[A-D](?![\w-])")
 IDENTITY = re.compile(r"(?<![\w-])(\d{8})[- ]?([A-Z])(?![\w-])")
@@ -181,6 +212,13 @@ NO_GIVEN = frozenset(
     " Dear Caller Contact Name Address Email Phone Fax Mobile Tel See This That These Those Its Their Our Your His Her Each Every Another One Please Regards"
     " Kind When Where However Before After Since Then Meanwhile Also".split()
 )
+#: Capitalised words that follow a given name without being a family name.
+NO_FAMILY = frozenset(
+    "Street Road Avenue Lane Drive Court Close Square Terrace Way Boulevard Crescent Place Row Walk Gardens Grove Hill Mews Parade Alley Quay Green Rise Highway Parkway House Hall Park"
+    " Bank University School College Hospital Institute Foundation Department Office Team Group Company Centre Center Committee Council Project Report Page Section Chapter Ltd Inc Llc Gmbh Plc".split()
+)
+#: Characters before a family name in which its given part is looked for.
+NAME_REACH = 120
 _GIVEN = r"[A-ZÀ-Þ][\wÀ-ÿ]+(?:-[A-ZÀ-Þ][\wÀ-ÿ]+)?"
 _CAPITAL = re.compile(r"(?<![\w@+])[A-ZÀ-Þ][a-zA-ZÀ-ÿ]{2,}(?:-[A-ZÀ-Þ][a-zA-ZÀ-ÿ]+)*(?![\w@+]|-[\w.+-]*@)")
 _LEFT = re.compile(rf"(?<![\w@+.\-/])({_GIVEN}(?:\s(?:[A-ZÀ-Þ]\.\s?)+|\s)|(?:[A-ZÀ-Þ]\.\s?)+)$")
@@ -221,10 +259,16 @@ class NameBook:
 def _names(text: str, book: NameBook) -> Iterator[tuple[int, int]]:
     end = -1
     for m in _CAPITAL.finditer(text):
-        if m.start() < end or not book.is_family(m[0]):
+        if m.start() < end:
             continue
         stop = m.end()
-        left = _LEFT.search(text, max(0, m.start() - 40, end), m.start())
+        if not book.is_family(m[0]):
+            begin = _named_by_given(text, m, book)
+            if begin is not None and begin >= end:
+                yield begin, stop
+                end = stop
+            continue
+        left = _LEFT.search(text, max(0, m.start() - NAME_REACH, end), m.start())
         if left:
             begin, given = left.start(), re.match(_GIVEN, left[1])
             word = given[0] if given else ""
@@ -250,9 +294,26 @@ def _names(text: str, book: NameBook) -> Iterator[tuple[int, int]]:
                 end = right.end()
 
 
+#: A title or a label, and the full name of two words or more that it announces.
+_ANNOUNCED = re.compile(
+    r"(?:\b(?:Mr|Mrs|Ms|Mx|Dr|Prof|Frau|Herrn?|Mme|Mlle|Monsieur|Madame|Señora?|Sra?|Signora?|Dhr|Mevr)\.?|\b(?:Name|Contact|Attn|Patient|Signed|Kontakt|Nom|Nombre|Nome|Naam)\s?:)[ \t]+"
+    rf"({_GIVEN}(?: [A-ZÀ-Þ]\.)* [A-ZÀ-Þ][a-zà-ÿ]{{2,}}(?:-[A-ZÀ-Þ][a-zà-ÿ]+)?)(?![\w@+]|-[\w.+-]*@)"
+)
+_GIVEN_BEFORE = re.compile(rf"(?<![\w@+.\-/])({_GIVEN}) (?:[A-ZÀ-Þ]\. ?)*$")
+
+
+def _named_by_given(text: str, m: re.Match, book: NameBook) -> int | None:
+    """Where a name begins whose family part no lexicon has: a known given name stands before it, in the same case."""
+    at = m.start()
+    if text[at - 1 : at] != " " or m[0].title() in NO_FAMILY or m[0].title() in NO_GIVEN or m[0].lower() in _STARTERS or book.knows_given(m[0]):
+        return None
+    left = _GIVEN_BEFORE.search(text, max(0, at - NAME_REACH), at) if text[at - 2].isalpha() or text[at - 2] == "." else None
+    return left.start(1) if left and book.knows_given(left[1]) and left[1].isupper() == m[0].isupper() else None
+
+
 #: Words that start sentences after a place name and a comma.
 _STARTERS = frozenset(
-    "the this that these those its their our your his her each every another one no any all some both in on at by for from of to with before after since when"
+    "also außerdem jedoch además también inoltre além ook the this that these those its their our your his her each every another one no any all some both in on at by for from of to with before after since when"
     " where while as if à but and or see please write also however meanwhile then thus so der die das ein eine le la les un une el los las una il lo gli i o os uma de het een".split()
 )
 
@@ -323,6 +384,10 @@ def detect(text: str, book: NameBook) -> list[tuple[int, int, str]]:
                 take(m.start(), end, "address")
     for s, e in _names(t, book):
         take(s, e, "name")
+    for m in _ANNOUNCED.finditer(t):
+        words = re.split(r"[ -]", m[1])
+        if not any(w.title() in NO_GIVEN or w.title() in NO_FAMILY or w.lower() in _STARTERS for w in words):
+            take(*m.span(1), "name")
     return sorted((*reading.source(s, e), kind) for s, e, kind in taken)
 
 
@@ -358,7 +423,7 @@ def find(df: DataFrame, lexicon: DataFrame, id_col: str = "row_id", text_col: st
                     at.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(at, pa.int64())], ["row_id", "kind", "char_pos"])
 
-    rows = df.where(F.length(text_col) > 0).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = spread(df.where(F.length(text_col) > 0).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id")
     return rows.mapInArrow(run, "row_id long, kind string, char_pos long")
 
 
@@ -374,4 +439,4 @@ def redacted(df: DataFrame, lexicon: DataFrame, id_col: str = "row_id", text_col
                 [batch.column(0), pa.array([t for t, _ in done], pa.string()), pa.array([n for _, n in done], pa.int32())], ["row_id", "text", "redactions"]
             )
 
-    return df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text")).mapInArrow(run, "row_id long, text string, redactions int")
+    return spread(df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text")), "row_id").mapInArrow(run, "row_id long, text string, redactions int")

@@ -87,3 +87,43 @@ def test_tables(spark):
     out = {r.row_id: (r.text, r.credentials) for r in C.redacted(df).collect()}
     assert set(out) == {1, 3, 4, 5, 7} and out[3] == (None, 0) and out[7] == ("", 0) and out[4][1] == 1
     assert C.find(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text,value", [('password = "correct horse battery staple"', "correct horse battery staple"), ('db_password = "sunflower"', "sunflower"), ('admin_pwd: "Sunflower"', "Sunflower")])
+def test_chosen_passwords(text, value):
+    assert [text[s:e] for s, e in C.credentials(text, "a.py")] == [value]
+
+
+@pytest.mark.parametrize("text", ['password = "Enter your password"', 'PASSWORD_ERROR = "invalid password"', 'token = "ghp_' + "a" * 36 + '"', 'title_key = "sunflower"', 'password = "password"', 'old_password: "too short."'])
+def test_texts_about_passwords_are_none(text):
+    assert C.credentials(text, "a.py") == []
+
+
+def test_a_checksum_proves_a_token():
+    import zlib
+
+    body, crc, tail = "a" * 30, zlib.crc32(b"a" * 30), ""
+    for _ in range(6):
+        crc, r = divmod(crc, 62)
+        tail = C._BASE62[r] + tail
+    assert C.checksum_holds("ghp_" + body + tail) and not C.checksum_holds("ghp_" + body + tail[::-1] + "x")
+    text = f't = "ghp_{body}{tail}"'
+    assert [text[s:e] for s, e in C.credentials(text, "a.py")] == ["ghp_" + body + tail]
+    assert C.web_token("eyJhbGciOiJIUzI1NiJ9.e30.x") and not C.web_token("eyJxx.e30.x")
+
+
+def test_masks_still_decode():
+    import base64
+
+    assert bytes.fromhex(C.mask("deadbeef0123")) and C.mask("0xDEADBEEF01") == "0x" + "0" * 10
+    assert base64.b32decode(C.mask("JBSWY3DPEHPK3PXP")) is not None
+    for n in range(3, 30):
+        for encode, decode in ((base64.b64encode, base64.b64decode), (base64.urlsafe_b64encode, base64.urlsafe_b64decode)):
+            value = encode(random.Random(n).randbytes(n)).decode()
+            assert len(decode(C.mask(value))) == n and len(C.mask(value)) == len(value)
+    assert C.mask("12345678901") == "0" * 11 and C.mask("Ab!9") == "Xx!0"
+
+
+def test_only_the_formats_of_the_keywords_are_tried():
+    kinds = C.kinds_in("see https://host.example/x")
+    assert kinds == C._KINDS["url"] and C.kinds_in("nothing here") == 0 and C.kinds_in("PassWord=x") & C._KINDS["connection"]

@@ -104,3 +104,25 @@ def test_tables(spark):
     assert P.find(df.limit(0), lexicon.limit(0)).count() == 0
     with pytest.raises(ValueError):
         P.name_rows(lexicon, bound=2)
+
+
+@pytest.mark.parametrize(
+    "text,kind,value",
+    [
+        ("call me on five five five nine nine nine five nine five five", "phone", "five five five nine nine nine five nine five five"),
+        ("ruf an: null zwei null sieben acht neun drei vier fünf sechs", "phone", "null zwei null sieben acht neun drei vier fünf sechs"),
+        ("电话一三八零零一三八零零零", "phone", "一三八零零一三八零零零"),
+        ("mail \U0001d423\U0001d41a\U0001d427\U0001d41e@mail.example now", "email", "\U0001d423\U0001d41a\U0001d427\U0001d41e@mail.example"),
+        ("call +٤٤ ٢٠ ٧٩٤٦ ٠٩٥٨", "phone", "+٤٤ ٢٠ ٧٩٤٦ ٠٩٥٨"),
+        ("jane (arroba) mail (punto) example", "email", "jane (arroba) mail (punto) example"),
+        ("Irina Q. Zoltankovics wrote", "name", "Irina Q. Zoltankovics"),
+        ("Name: Ada Zoltankovics", "name", "Ada Zoltankovics"),
+    ],
+)
+def test_wider_disguises_and_names(book, text, kind, value):
+    assert [(k, text[s:e]) for s, e, k in P.detect(text, book)] == [(kind, value)]
+
+
+@pytest.mark.parametrize("text", ["one two three four five", "Mark Report and Rose Street", "Dear Sir or Madam", "the one who is two or three, four or five, six", "一二三"])
+def test_what_is_no_value(book, text):
+    assert P.detect(text, book) == []
