@@ -1,10 +1,12 @@
 """Repair of text from scanned pages: hyphenated line ends, misread characters, running headers and page numbers.
 
-Two averaged perceptrons do the deciding. The editor scores character operations (keep, replace, delete, insert, and at
-line ends join or join with the hyphen); an unknown word is rewritten when a sequence of operations that ends in a known
-word scores above keeping it. The furniture classifier calls a line body, header or page number by its shape, its place
-on the page and how often it returns in its file. Both are trained on clean rows of the same table, damaged on purpose:
-a bounded sample for the weights, word counts over all rows for the vocabulary.
+Averaged perceptrons do the deciding. The editor scores character operations (keep, replace, delete, insert, and at line
+ends join, join with the hyphen or keep apart) by the characters around them and by whether what comes out is spelled like
+the words of the corpus; whole words only add how common they are. An unknown word becomes the best of the known words
+within reach and of what the character operations make of it alone, which may be a word that no vocabulary has. The
+furniture classifier sees every line and calls it body, header or page number by its shape, length, place on the page and
+how often it returns in its file. All are trained on clean rows of the same table, damaged on purpose: a bounded sample
+for the weights, word counts over all rows for the vocabulary.
 
 Rows without a page, null and empty texts have no damage.
 """
@@ -13,15 +15,18 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodespark.session import stash
+from lodespark.operators.lexical import small
+from lodespark.session import spread, stash
 
 #: Clean rows that train the perceptrons at most, those with the smallest hashes of their ids.
 TRAINING_ROWS = 1_500
@@ -31,6 +36,10 @@ LEAST_COUNT, LEAST_SHARE = 3, 1e-6
 #: Words a task counts before it hands the counts on.
 COUNTED = 300_000
 EPOCHS = 5
+#: Words and line ends of the training rows that train the editor at most.
+TRAINING_WORDS, TRAINING_ENDS = 8_000, 6_000
+#: Share of clean words the vocabulary lacks that may be rewritten to another unknown word, on held-out ones.
+SPOILED = 0.0005
 
 #: What scanners read, and what stands on the page.
 MISREADINGS = [
@@ -115,71 +124,136 @@ class Perceptron:
 Edit = tuple[int, str, str]
 
 
-def candidates(word: str, known) -> list[tuple[str, tuple[Edit, ...]]]:
-    """Known words that up to three replacements of misreadings make of a word, each with its edits."""
-    spots: list[Edit] = [(k, seen, true) for k in range(len(word)) for n in (1, 2, 3) for seen in [word[k : k + n]] if len(seen) == n for true in _BY_SEEN.get(seen, ())]
-    out: dict[str, tuple[Edit, ...]] = {}
+class Vocabulary(dict):
+    """Counts of known words, with what tells whether one begins with some letters and how words are spelled."""
+
+    def __init__(self, counts: dict[str, int]) -> None:
+        super().__init__(counts)
+        self.sorted = sorted(counts)
+        grams: Counter = Counter()
+        for w in counts:
+            grams.update({f"^{w}$"[k : k + 3] for k in range(len(w))})
+        self.grams = {g for g, n in grams.items() if n > 1}
+
+    def __reduce__(self):
+        return Vocabulary, (dict(self),)
+
+    def begins(self, letters: str) -> bool:
+        k = bisect_left(self.sorted, letters)
+        return k < len(self.sorted) and self.sorted[k].startswith(letters)
+
+    def spelled(self, letters: str) -> bool:
+        """Whether all runs of three of the letters stand in at least two words."""
+        return all(letters[k : k + 3] in self.grams for k in range(len(letters) - 2))
 
-    def walk(at: int, first: int, made: str, edits: tuple[Edit, ...]) -> None:
-        for j in range(first, len(spots)):
-            k, seen, true = spots[j]
-            if k < at:
-                continue
-            new = made + word[at:k] + true
-            tail = word[k + len(seen) :]
-            if known(new + tail) and new + tail not in out and new + tail != word:
-                out[new + tail] = (*edits, spots[j])
-            if len(edits) + 1 < depth:
-                walk(k + len(seen), j + 1, new, (*edits, spots[j]))
-
-    for depth in range(1, _MOST_EDITS + 1):
-        if depth == 3 and len(spots) > 40:
-            break
-        walk(0, 0, "", ())
-        if out:
-            break
-    return list(out.items())
 
+def candidates(word: str, known: Vocabulary) -> list[tuple[str, tuple[Edit, ...]]]:
+    """Known words that up to three replacements of misreadings make of a word, each with its fewest edits.
 
-def edit_features(word: str, edits: tuple[Edit, ...], count: int) -> list[tuple[str, list[str]]]:
+    The search goes through the word from the left and keeps only what some known word begins with, so its length doesn't
+    limit the edits.
+    """
+    out: dict[str, tuple[Edit, ...]] = {}
+    size = len(word)
+
+    def walk(at: int, made: str, edits: tuple[Edit, ...]) -> None:
+        if at == size:
+            if edits and made in known and made != word and (made not in out or len(edits) < len(out[made])):
+                out[made] = edits
+            return
+        if known.begins(made + word[at]):
+            walk(at + 1, made + word[at], edits)
+        if len(edits) < _MOST_EDITS:
+            for n in (1, 2, 3):
+                for true in _BY_SEEN.get(word[at : at + n], ()) if at + n <= size else ():
+                    if known.begins(made + true):
+                        walk(at + n, made + true, (*edits, (at, word[at : at + n], true)))
+
+    walk(0, "", ())
+    fewest = min((len(e) for e in out.values()), default=0)
+    return [(w, e) for w, e in out.items() if len(e) == fewest]
+
+
+def character_features(word: str, edit: Edit, made: str, known: Vocabulary) -> list[tuple[str, list[str]]]:
+    """(operation, features) of the characters of one edit; ``made`` is the word before it as already repaired."""
+    k, seen, true = edit
+    before, rest = made[-1:] or "^", word[k + len(seen) :]
+    after = rest[:1] or "$"
+    left = f"^{made}"[-2:]
+    was, now = known.spelled(left + seen + f"{rest}$"[:2]), known.spelled(left + true + f"{rest}$"[:2])
+    out = [("replace", [f"{seen}>{true}", f"{seen}>{true}|{before}", f"{seen}>{true}|{after}", f"was={was}|now={now}", f"{seen}>{true}|was={was}|now={now}"])]
+    if len(seen) > len(true):
+        out.append(("delete", [f"{seen}>{true}", f"now={now}"]))
+    elif len(seen) < len(true):
+        out.append(("insert", [f"{seen}>{true}", f"now={now}"]))
+    return out
+
+
+def edit_features(word: str, edits: tuple[Edit, ...], count: int, known: Vocabulary) -> list[tuple[str, list[str]]]:
     """(operation, features) of every character operation but the plain keeps, and of the word as a whole."""
     odd = any(not c.isalpha() for c in word)
     if not edits:
-        return [("keep", ["word", f"odd={odd}", f"length={min(len(word), 12)}", f"title={word[:1].isupper()}"])]
-    out = [("rewrite", ["word", f"edits={len(edits)}", f"odd={odd}", f"length={min(len(word), 12)}", f"count={min(count.bit_length(), 8)}", f"title={word[:1].isupper()}"])]
-    for k, seen, true in edits:
-        before, after = word[k - 1 : k] or "^", word[k + len(seen) : k + len(seen) + 1] or "$"
-        common = [f"{seen}>{true}", f"{seen}>{true}|{before}", f"{seen}>{true}|{after}"]
-        out.append(("replace", common))
-        if len(seen) > len(true):
-            out.append(("delete", [f"{seen}>{true}"]))
-        elif len(seen) < len(true):
-            out.append(("insert", [f"{seen}>{true}"]))
+        return [("keep", ["word", f"odd={odd}", f"length={min(len(word), 12)}", f"spelled={known.spelled(f'^{word}$')}"])]
+    out = [("rewrite", ["word", f"edits={len(edits)}", f"odd={odd}", f"length={min(len(word), 12)}", f"count={min(count.bit_length(), 8)}", f"known={count > 0}|odd={odd}|edits={len(edits)}"])]
+    made, at = "", 0
+    for edit in edits:
+        made += word[at : edit[0]]
+        out += character_features(word, edit, made, known)
+        made, at = made + edit[2], edit[0] + len(edit[1])
     return out
 
 
+LINE_ENDS = ("apart", "join", "hyphen")
+
+
 @dataclass
 class Editor:
-    vocabulary: dict[str, int]
+    vocabulary: Vocabulary
     weights: Perceptron
     line_weights: Perceptron
+    #: By how much a word that no vocabulary has must be better than the one that stands there.
+    margin: float = 0.0
+    seen: dict[str, str | None] = field(default_factory=dict)
+
+    def score(self, word: str, edits: tuple[Edit, ...], count: int) -> float:
+        return sum(self.weights.score(op, fs) for op, fs in edit_features(word, edits, count, self.vocabulary))
+
+    def by_characters(self, word: str) -> tuple[str, tuple[Edit, ...]]:
+        """What the operations make of a word alone: from the left the best at each character, where one is better than to keep it."""
+        made, at, edits = "", 0, []
+        while at < len(word):
+            best, top = None, 0.0
+            for n in (1, 2, 3):
+                for true in _BY_SEEN.get(word[at : at + n], ()) if at + n <= len(word) else ():
+                    edit = (at, word[at : at + n], true)
+                    value = sum(self.weights.score(op, fs) for op, fs in character_features(word, edit, made, self.vocabulary))
+                    if value > top:
+                        best, top = edit, value
+            if best is None:
+                made, at = made + word[at], at + 1
+            else:
+                edits.append(best)
+                made, at = made + best[2], at + len(best[1])
+        return made, tuple(edits)
 
-    def known(self, word: str) -> bool:
-        return word in self.vocabulary
-
-    def _score(self, word: str, edits: tuple[Edit, ...], count: int) -> float:
-        return sum(self.weights.score(op, fs) for op, fs in edit_features(word, edits, count))
+    def options(self, word: str, known: list[tuple[str, tuple[Edit, ...]]]) -> list[tuple[str, tuple[Edit, ...], int]]:
+        """The word itself, the known words within reach and what the characters alone give, with their counts."""
+        alone = self.by_characters(word)
+        out = [(word, (), 0), *((w, e, self.vocabulary[w]) for w, e in known)]
+        return out + [(*alone, 0)] if alone[1] and alone[0].isalpha() and alone[0] not in self.vocabulary else out
 
     def correct(self, word: str) -> str | None:
         """What an unknown word should be, or None to keep it. Capitals stay where the letters do."""
         low = word.lower()
         if low in self.vocabulary or len(low) < 2:
             return None
-        best, top = None, self._score(low, (), 0)
-        for made, edits in candidates(low, self.known):
-            s = self._score(low, edits, self.vocabulary[made])
-            if s > top:
-                best, top = made, s
+        if low not in self.seen:
+            if len(self.seen) > COUNTED:
+                self.seen.clear()
+            scored = [(self.score(low, e, n) - (self.margin if e and not n else 0.0), w, e) for w, e, n in self.options(low, candidates(low, self.vocabulary))]
+            best = max(scored, key=lambda x: x[0])
+            self.seen[low] = best[1] if best[2] else None
+        best = self.seen[low]
         if best is None:
             return None
         if word.isupper():
@@ -196,19 +270,24 @@ class Editor:
         return None if not any(fixed) else "-".join(f or p for f, p in zip(fixed, parts))
 
     def join(self, left: str, mark: str, right: str) -> str:
-        """join or hyphen: whether a divider between two lines goes or stays when they are joined."""
+        """apart, join or hyphen: whether what stands around a mark at a line end is one word, and whether the mark stays in it."""
         fs = join_features(left, mark, right, self.vocabulary)
-        return max(("join", "hyphen"), key=lambda op: self.line_weights.score(op, fs))
+        return max(LINE_ENDS, key=lambda op: self.line_weights.score(op, fs))
+
+
+#: Words after a hyphen that stands for the second part of a compound.
+SUSPENDED = "and or und oder et ou y o e ed en of bis to nor sowie".split()
 
 
 def join_features(left: str, mark: str, right: str, vocabulary) -> list[str]:
     whole, compound = (left + right).lower(), f"{left}-{right}".lower()
-    kind = lambda s: "none" if not s else "digit" if s[0].isdigit() else "upper" if s[0].isupper() else "lower"
+    kind = lambda s: "none" if not s else "digit" if s[0].isdigit() else "upper" if s[0].isupper() else "lower" if s[0].isalpha() else "other"
     end = "digit" if left[-1:].isdigit() else "upper" if left[-1:].isupper() else "lower"
     soft = mark != "-"
+    known, and_ = whole in vocabulary, right.lower() in SUSPENDED and whole not in vocabulary
     return [
-        f"soft={soft}", f"whole={whole in vocabulary}", f"compound={compound in vocabulary}", f"parts={left.lower() in vocabulary}{right.lower() in vocabulary}",
-        f"whole={whole in vocabulary}|compound={compound in vocabulary}", f"kinds={end}{kind(right)}", f"kinds={end}{kind(right)}|soft={soft}",
+        "bias", f"soft={soft}", f"whole={known}", f"compound={compound in vocabulary}", f"parts={left.lower() in vocabulary}{right.lower() in vocabulary}", f"and={and_}", f"and={and_}|soft={soft}",
+        f"whole={known}|compound={compound in vocabulary}", f"kinds={end}{kind(right)}", f"kinds={end}{kind(right)}|soft={soft}", f"right={bool(right)}|soft={soft}",
     ]
 
 
@@ -228,58 +307,84 @@ def _damage(word: str, rng: random.Random) -> tuple[str, int]:
 def train_editor(vocabulary: dict[str, int], texts: list[str], seed: int = 5) -> Editor:
     """An editor trained on words and line ends of clean texts."""
     rng = random.Random(seed)
-    editor = Editor(vocabulary, Perceptron(), Perceptron())
     words = [w.lower() for t in texts for w in _WORD.findall(t) if len(w) > 2]
     rng.shuffle(words)
-    words = words[:8_000]
-    held = set(rng.sample(sorted(set(words)), len(set(words)) // 10)) if words else set()
+    words = words[:TRAINING_WORDS]
+    distinct = sorted(set(words))
+    held = set(rng.sample(distinct, len(distinct) // 10)) if words else set()
+    # what the held words teach is to keep and to repair words that no vocabulary has
+    seen = Vocabulary({w: n for w, n in vocabulary.items() if w not in held})
+    editor = Editor(seen, Perceptron(), Perceptron())
     cases: list[tuple[str, str]] = []
     for w in words:
-        if w in held:  # clean words that the vocabulary lacks
+        if w in held and rng.random() < 0.7:
             cases.append((w, w))
-        elif w in vocabulary:
-            seen, n = _damage(w, rng)
-            if n and seen not in vocabulary:
-                cases.append((seen, w))
-    known = lambda w: w in vocabulary and w not in held
-    prepared = [(seen, true, candidates(seen, known)) for seen, true in cases]
+        elif w in held or w in seen:
+            damaged, n = _damage(w, rng)
+            if n and damaged not in seen:
+                cases.append((damaged, w))
+    prepared = [(word, true, candidates(word, seen)) for word, true in cases]
+    rng.shuffle(prepared)
+    for_margin = [c for c in prepared[: len(prepared) // 5] if c[0] == c[1]]
+    prepared = prepared[len(prepared) // 5 :]
     p = editor.weights
     for _ in range(EPOCHS):
         rng.shuffle(prepared)
-        for seen, true, found in prepared:
+        for word, true, found in prepared:
             p.step()
-            options = [(seen, ()), *found]
+            options = editor.options(word, found)
             right = next((o for o in options if o[0] == true), options[0])
-            guess = max(options, key=lambda o: editor._score(seen, o[1], vocabulary.get(o[0], 0) if o[1] else 0))
+            guess = max(options, key=lambda o: editor.score(word, o[1], o[2]))
             if guess[0] != right[0]:
-                for op, fs in edit_features(seen, right[1], vocabulary.get(right[0], 0)):
+                for op, fs in edit_features(word, right[1], right[2], seen):
                     p.change(op, fs, 1.0)
-                for op, fs in edit_features(seen, guess[1], vocabulary.get(guess[0], 0)):
+                for op, fs in edit_features(word, guess[1], guess[2], seen):
                     p.change(op, fs, -1.0)
     p.average()
-    lines: list[tuple[str, list[str]]] = []
+    # how far unknown rewrites of clean unknown words are above keeping them
+    gains = []
+    for word, _, found in for_margin:
+        options = editor.options(word, found)
+        gains += [editor.score(word, e, n) - editor.score(word, (), 0) for _, e, n in options[1:] if not n]
+    gains.sort()
+    spared = int(SPOILED * len(for_margin))
+    editor.margin = max(0.0, gains[-1 - spared] + 1e-9 if len(gains) > spared else 0.0)
+    editor.vocabulary = vocabulary if isinstance(vocabulary, Vocabulary) else Vocabulary(vocabulary)
+    editor.seen.clear()
+    train_line_ends(editor, texts, rng)
+    return editor
+
+
+def train_line_ends(editor: Editor, texts: list[str], rng: random.Random) -> None:
+    """Line ends made of clean words: divided ones, with and without the rest, compounds, and hyphens that stand for a second part."""
+    known = editor.vocabulary
+    ends: list[tuple[str, list[str]]] = []
     tokens = [w for t in texts for w in re.findall(r"[^\s.,;:!?\"'()]+", t)]
     rng.shuffle(tokens)
-    for w in tokens[:6_000]:
-        mark = rng.choice("--" + DIVIDERS[:3])
+    for w in tokens[:TRAINING_ENDS]:
+        mark = rng.choice("--" + DIVIDERS[:3] + "=~")
         if "-" in w[1:-1] and rng.random() < 0.9:
             k = rng.choice([i for i, c in enumerate(w) if c == "-" and 0 < i < len(w) - 1] or [0])
             if k:
-                lines.append(("hyphen", join_features(w[:k], "-", w[k + 1 :], vocabulary)))
+                ends.append(("hyphen", join_features(w[:k], "-", w[k + 1 :] if rng.random() < 0.9 else "", known)))
         elif len(w) > 4 and w.isalpha():
             k = rng.randrange(2, len(w) - 1)
-            lines.append(("join", join_features(w[:k], mark, w[k:], vocabulary)))
+            ends.append(("join", join_features(w[:k], mark, w[k:] if rng.random() < 0.85 else "", known)))
+            if rng.random() < 0.1:
+                ends.append(("apart", join_features(w, "-", rng.choice(SUSPENDED), known)))
+        elif len(w) > 4 and w.isalnum():  # dates, numbers and identifiers are divided too
+            k = rng.randrange(1, len(w))
+            ends.append(("join", join_features(w[:k], mark, w[k:], known)))
     q = editor.line_weights
     for _ in range(EPOCHS):
-        rng.shuffle(lines)
-        for label, fs in lines:
+        rng.shuffle(ends)
+        for label, fs in ends:
             q.step()
-            guess = max(("join", "hyphen"), key=lambda op: q.score(op, fs))
+            guess = max(LINE_ENDS, key=lambda op: q.score(op, fs))
             if guess != label:
                 q.change(label, fs, 1.0)
                 q.change(guess, fs, -1.0)
     q.average()
-    return editor
 
 
 # ---- furniture -------------------------------------------------------------------------------------------------------
@@ -295,54 +400,67 @@ class Line:
     features: list[str]
 
 
-def _title(s: str) -> str:
-    words = [w for w in re.split(r"\s+", s) if w]
-    if re.search(r"\d{2}|\(\w+-|[.:;?] ", s):
-        return "no"
-    if not 2 <= len(words) <= 7 or s[-1:] in ".,;:?" or len(s) > 60:
-        return "no"
+def _shape(s: str) -> str:
+    """How a line is written: in capitals, as a title, as a sentence's beginning, or otherwise."""
+    words = s.split()
     letters = "".join(c for c in s if c.isalpha())
     if letters and sum(c.isupper() for c in letters) >= 0.8 * len(letters):
         return "capitals"
     ups = sum(w[:1].isupper() or not w[:1].isalpha() for w in words)
-    return "title" if ups == len(words) else "sentence" if words[0][:1].isupper() else "no"
+    return "title" if ups == len(words) else "sentence" if words[0][:1].isupper() else "small"
+
+
+_INSIDE = re.compile(r"\d{2}|\(\w+-|[.:;?] ")
 
 
 def furniture_lines(text: str) -> list[Line]:
-    """Lines of a text that are shaped like furniture."""
+    """All lines of a text that aren't empty, with what tells furniture from body."""
     lines = text.split("\n")
-    alone = [bool(_ALONE.fullmatch(l)) and bool(l.strip()) for l in lines]
+    alone = [bool(l.strip()) and _ALONE.fullmatch(l) is not None for l in lines]
     filled = [k for k, l in enumerate(lines) if l.strip()]
     if not filled:
         return []
     widest = max(len(l) for l in lines)
+    firsts = [""] * (len(lines) + 1)  # of the next line of text after each
+    for k in range(len(lines) - 1, -1, -1):
+        firsts[k] = firsts[k + 1] if alone[k] or not lines[k].strip() else lines[k].lstrip()[:1]
     out = []
     for k in filled:
         line = lines[k]
-        if len(line) > 90:
-            continue
-        number, rest = alone[k], "" if alone[k] else line.strip()
-        if not number:
-            if m := _LEADING.fullmatch(line):
-                number, rest = True, m[2].strip()
-            elif m := _TRAILING.fullmatch(line):
-                number, rest = True, m[1].strip()
-        shape = _title(rest) if rest else "none"
+        rest = rest_of(line)
+        number = rest != line.strip()
+        words = len(rest.split())
+        shape = _shape(rest) if rest else "none"
+        inside = "inside" if rest and (_INSIDE.search(rest) or rest[-1] in ".,;:?") else "clean"
+        size = "none" if not rest else "short" if len(rest) <= 30 else "middle" if len(rest) <= 60 else "long" if len(rest) <= 90 else "longest"
+        many = "one" if words == 1 else "few" if words <= 7 else "many"
         place = "first" if k == filled[0] else "last" if k == filled[-1] else "inner"
         near = any(0 <= j < len(lines) and alone[j] for j in (k - 1, k + 1)) or (number and bool(rest))
-        if not number and shape not in ("title", "capitals") and not (shape == "sentence" and (near or place == "first")):
-            continue
-        after = next((x.lstrip()[:1] for x in lines[k + 1 :] if x.strip() and not _ALONE.fullmatch(x)), "")
+        after = firsts[k + 1]
         begins = "none" if not after else "small" if after.islower() else "capital"
         stop = k > 0 and lines[k - 1].rstrip()[-1:] in ".!?"
-        digits = "digits" if re.search(r"\d", line) else "none"
-        features = ["bias", f"shape={shape}", f"number={number}", f"place={place}", f"near={near}", f"stop={stop}", f"shape={shape}|place={place}", f"shape={shape}|near={near}",
-                    f"number={number}|place={place}|{digits}", f"short={len(line) < 0.75 * widest}", f"alone={alone[k]}|{digits}", f"words={len(rest.split())}",
-                    f"begins={begins}", f"shape={shape}|begins={begins}|short={len(rest) < 0.8 * widest}|near={near}", f"shape={shape}|words={len(rest.split())}"]
+        digits = "digits" if any(c.isdigit() for c in line) else "none"
+        like = f"{shape}|{inside}|{many}|{size}"
+        features = ["bias", f"shape={like}", f"number={number}", f"place={place}", f"near={near}", f"stop={stop}", f"shape={like}|place={place}", f"shape={like}|near={near}",
+                    f"number={number}|place={place}|{digits}", f"short={len(line) < 0.75 * widest}", f"alone={alone[k]}|{digits}", f"words={min(words, 12)}", f"begins={begins}",
+                    f"shape={like}|begins={begins}|short={len(rest) < 0.8 * widest}|near={near}", f"shape={like}|words={min(words, 12)}", f"inside={inside}", f"size={size}", f"many={many}",
+                    f"shape={shape}|{inside}|{many}|near={near}|place={place}"]
         out.append(Line(k, number, rest, features))
     return out
 
 
+def rest_of(line: str) -> str:
+    """A line without the page number beside its text; nothing where it is a number alone."""
+    if not line.strip() or _ALONE.fullmatch(line):
+        return ""
+    if "|" in line or "\t" in line or "   " in line:
+        if m := _LEADING.fullmatch(line):
+            return m[2].strip()
+        if m := _TRAILING.fullmatch(line):
+            return m[1].strip()
+    return line.strip()
+
+
 def count_features(line: Line, times: int) -> list[str]:
     n = "0" if not line.rest else str(min(times, 4))
     shape = line.features[1]
@@ -399,7 +517,11 @@ def train_furniture(texts: list[str], seed: int = 6) -> Perceptron:
         first = rng.randrange(1, 60)
         pages: list[tuple[str, set[str], set[str]]] = []
         for k, body in enumerate(bodies[start : start + rng.choice((1, 2, 4))]):
-            lines = _wrap(body, rng.randrange(44, 70))
+            lines = _wrap(body, rng.choice((rng.randrange(44, 70), rng.randrange(44, 70), rng.randrange(44, 70), rng.randrange(70, 130), 10_000)))
+            if rng.random() < 0.4:  # rows begin and end within lines
+                lines[0] = " ".join(lines[0].split()[-rng.randrange(1, 5) :])
+            if rng.random() < 0.5:
+                lines[-1] = " ".join(lines[-1].split()[: rng.randrange(1, 6)])
             n = form.format(n=first + k, m=first + 50, r=_roman(first + k))
             if rng.random() < 0.15:
                 n = n.replace("1", "l").replace("0", "O")
@@ -425,6 +547,11 @@ def train_furniture(texts: list[str], seed: int = 6) -> Perceptron:
                 text, heads, numbers = pages[k]
                 more = pages[k + 1][0].split("\n")[: rng.choice((1, 1, 2, 2, 4, 8))]
                 pages[k] = ("\n".join([text, *more]), heads | pages[k + 1][1], numbers | pages[k + 1][2])
+        for k in range(1, len(pages)):  # and may repeat the end of the one before
+            if rng.random() < 0.4:
+                text, heads, numbers = pages[k]
+                before = [l for l in pages[k - 1][0].split("\n")[-rng.choice((1, 2, 3, 5)) :] if l not in pages[k - 1][1] | pages[k - 1][2]]
+                pages[k] = ("\n".join([*before, text]), heads, numbers)
         times = Counter(fold(x.rest) for text, _, _ in pages for x in furniture_lines(text) if x.rest)
         for text, heads, numbers in pages:
             own = text.split("\n")
@@ -453,12 +580,22 @@ def train_furniture(texts: list[str], seed: int = 6) -> Perceptron:
 class Repairer:
     editor: Editor
     furniture: Perceptron
+    #: What lines of the same features were called.
+    called: dict[tuple, tuple[bool, bool]] = field(default_factory=dict)
+
+    def _classified(self, line: Line, times: int) -> tuple[bool, bool]:
+        key = (times if times < 4 else 4, line.number, bool(line.rest), *line.features)
+        if key not in self.called:
+            if len(self.called) > COUNTED:
+                self.called.clear()
+            self.called[key] = classify(self.furniture, line, times)
+        return self.called[key]
 
     def marks(self, text: str, times: dict[int, int]) -> dict[int, tuple[Line, bool, bool]]:
         """Lines that hold furniture; ``times`` says how often the line's header returns in the file."""
         out = {}
         for line in furniture_lines(text):
-            header, number = classify(self.furniture, line, times.get(line.at, 1))
+            header, number = self._classified(line, times.get(line.at, 1))
             if header or number:
                 out[line.at] = (line, header, number)
         return out
@@ -497,9 +634,10 @@ class Repairer:
                 nxt = next((x.strip() for x in body[k + 1 :] if x.strip()), "")
                 left = re.search(r"[^\s.,;:!?\"'()]*$", line[: m.start(2)])[0]
                 right = re.match(r"[^\s.,;:!?\"')]*", nxt)[0]
-                op = self.editor.join(left, m[2], right) if right else "hyphen"
-                defects.add("hyphenation")
-                if right:
+                op = self.editor.join(left, m[2], right)
+                if op != "apart":
+                    defects.add("hyphenation")
+                if right and op != "apart":
                     open_ = open_[: open_.rindex(m[2])] + ("-" if op == "hyphen" else "")
                     after = True
         if open_:
@@ -576,7 +714,7 @@ def vocabulary(df: DataFrame, text_col: str = "text", least: int = LEAST_COUNT,
                 forms.clear()
         yield out()
 
-    words = df.where(F.length(text_col) > 0).select(text_col).mapInArrow(run, "word string, n long")
+    words = spread(df.where(F.length(text_col) > 0).select(text_col), text_col).mapInArrow(run, "word string, n long")
     # longer strings are keys and codes
     words = stash(words.where(F.length("word") <= 40).groupBy("word").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("word") == "")))
     total = words.where("word = ''").agg(F.sum("n")).first()[0] or 0
@@ -596,8 +734,9 @@ def compounds(scans: DataFrame, text_col: str = "text", least: int = LEAST_COUNT
 
 def sound_compounds(n: dict[str, int]) -> dict[str, int]:
     out: dict[str, int] = {}
+    known = Vocabulary(n)
     for word, times in n.items():
-        if any(n[other] >= 10 * times for other, _ in candidates(word, n.__contains__)):
+        if any(n[other] >= 10 * times for other, _ in candidates(word, known)):
             continue
         for w in (word, *word.split("-")):
             out[w] = out.get(w, 0) + times
@@ -628,23 +767,23 @@ def repaired(df: DataFrame, id_col: str = "row_id", path_col: str = "relative_pa
     """
     base = df.select(F.col(id_col).cast("long").alias("row_id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text"), F.col(page_col).alias("page"), F.col(index_col).cast("int").alias("index"))
     model = df.sparkSession.sparkContext.broadcast(trained(base.where("page is null"), base.where("page is not null")))
-    scans = base.where("page is not null").select("row_id", "path", "index", "text")
+    scans = spread(base.where("page is not null").select("row_id", "path", "index", "text"), "row_id")
 
     def lines(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], []]
             for i, path, index, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for x in furniture_lines(text or ""):
-                    if x.rest and len(fold(x.rest)) > 3:
-                        for column, value in zip(out, (i, path, index, x.at, fold(x.rest))):
+                for at, line in enumerate((text or "").split("\n")):
+                    if len(key := fold(rest_of(line))) > 3:
+                        for column, value in zip(out, (i, index, at, xxhash.xxh64_intdigest(f"{path}\0{key}") - (1 << 63))):
                             column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()))], ["row_id", "path", "index", "at", "key"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64()))], ["row_id", "index", "at", "key"])
 
-    found = stash(scans.mapInArrow(lines, "row_id long, path string, index int, at int, key string"))
-    times = found.select("path", "key", "index", "at").distinct().groupBy("path", "key").agg(F.count("*").alias("times"))
-    per_row = found.join(times.where("times > 1"), ["path", "key"]).groupBy("row_id").agg(F.collect_list(F.struct("at", F.least("times", F.lit(9)).alias("times"))).alias("lines"))
+    # a line of a file is a hash of 64 bits; the few of them that return are what goes back to the rows
+    found = stash(scans.mapInArrow(lines, "row_id long, index int, at int, key long"))
+    places = found.select("key", "index", "at").distinct().groupBy("key").agg(F.count("*").alias("times"))
+    times = stash(places.where("times > 1"))
+    per_row = found.join(small(times), "key").groupBy("row_id").agg(F.collect_list(F.struct("at", F.least("times", F.lit(9)).alias("times"))).alias("lines"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repairer: Repairer = model.value

@@ -104,3 +104,32 @@ def test_misreads_at_held_out_accuracy():
             right += editor.correct(seen) == w
     assert right / total > 0.9
     assert all(editor.correct(w) is None for w in ("Quillanport", "zephyr", "xviii"))
+
+
+def test_the_editor_decides_about_line_ends():
+    vocabulary = {w: 50 for w in WORDS}
+    editor = R.train_editor(vocabulary, [" ".join(WORDS)] * 40)
+    furniture = R.train_furniture([" ".join(WORDS * 5)] * 40)
+    text = "the quarterly docu-\nment and the green-\nhouse report, both pre-\nand certified."
+    new, kinds = R.Repairer(editor, furniture).repair(text, {})
+    assert "document" in new and "greenhouse" in new and kinds == ["hyphenation"]
+    assert editor.join("pre", "-", "and") == "apart" and editor.join("docu", "-", "ment") == "join"
+    editor.line_weights = R.Perceptron()  # what knows nothing joins nothing
+    assert R.Repairer(editor, furniture).repair(text, {})[1] == []
+
+
+def test_long_words_and_words_that_no_vocabulary_has():
+    rng = random.Random(2)
+    made = ["".join(rng.choice(("con", "ter", "man", "el", "ost", "ing", "ment", "ra", "li", "ver", "sta", "tion")) for _ in range(rng.randrange(2, 5))) for _ in range(500)]
+    vocabulary = {w: 40 for w in made} | {"communicationinternational": 50}
+    editor = R.train_editor(vocabulary, [" ".join(made)] * 20)
+    assert editor.correct("cornrnunicationintcrnational") == "communicationinternational"  # three edits, however long
+    alone = editor.by_characters("c0nterst4tion")[0]
+    assert alone not in vocabulary and alone == "conterstation"  # characters alone
+    assert editor.correct("manment" if "manment" in vocabulary else made[0]) is None
+
+
+def test_the_classifier_sees_every_line():
+    text = "annual report of the committee on public works and on the state of its many buildings, roads and bridges\nbody text here\n\n- 4 -"
+    assert [(x.at, x.number) for x in R.furniture_lines(text)] == [(0, False), (1, False), (3, True)]
+    assert R.rest_of("Ledger Office    17") == "Ledger Office" and R.rest_of("- 4 -") == "" and R.rest_of("plain text") == "plain text"
