@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodespark.operators.predicates import archive_like
+from lodespark.operators.predicates import archive_like, normalized_prefixes
 
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -47,15 +47,66 @@ def can_resume(previous: DataFrame, current: DataFrame) -> DataFrame:
     return pairs.agg(F.coalesce(F.min(F.coalesce(F.col("checksum") == F.col("now"), F.lit(False))), F.lit(False)).alias("resumable"))
 
 
+IDENTITY = ("relative_path", "bytes", "mtime_ms", "ctime_ms", "device", "inode", "mode")
+
+
 def reusable_fingerprints(files: DataFrame, cache: DataFrame, now, days: int = 30, strict: bool = False) -> DataFrame:
-    """Files with the cached checksum where size, times and identity match a record of at most ``days`` days."""
+    """Files with ``cached_checksum``: that of the record of the same path, size, times and identity, verified at most ``days`` days ago.
+
+    ``cache`` has one record of a path. A record from the future, or any in strict mode, isn't used; nulls match nothing.
+    """
     if strict:
         return files.withColumn("cached_checksum", F.lit(None).cast("string"))
-    keys = [c for c in ("relative_path", "bytes", "mtime_ms", "ctime_ms", "device", "inode", "mode") if c in files.columns and c in cache.columns]
-    fresh = cache.where(F.col("recorded_at") >= F.lit(now) - F.expr(f"interval {days} days")).select(*keys, F.col("checksum").alias("cached_checksum"))
+    keys = [c for c in IDENTITY if c in files.columns and c in cache.columns]
+    end = F.lit(now).cast("timestamp_ntz")
+    fresh = cache.where(F.col("verified_at").between(end - F.expr(f"interval {days} days"), end)).select(*keys, F.col("checksum").alias("cached_checksum"))
     return files.join(fresh, keys, "left")
 
 
+def matched_prefixes(files: DataFrame, prefixes: list[str]) -> DataFrame:
+    """(prefix, files): how many paths lie at or below each prefix; 0 for those that match nothing."""
+    asked = files.sparkSession.createDataFrame([(p,) for p in normalized_prefixes(prefixes)], "prefix string")
+    # every folder above a path is a key, so the prefixes meet equal ones only
+    parts = F.split("relative_path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    found = files.select(F.explode(above).alias("prefix")).join(F.broadcast(asked), "prefix", "left_semi").groupBy("prefix").agg(F.count("*").alias("files"))
+    return asked.join(found, "prefix", "left").withColumn("files", F.coalesce("files", F.lit(0)))
+
+
+def freshness(current: dict) -> Column:
+    """Why an index of a manifest isn't fresh against the ``current`` settings, the first rule that it breaks; null where it is.
+
+    The manifest's columns are recovered, schema, embedding_provider, embedding_model, model_revision, model_digest,
+    distance_metric, chunks, vector_dimension, index_dimension, index_model, coverage, unindexed, chunk_size,
+    chunk_overlap and policy.
+    """
+    differs = lambda c: ~F.col(c).eqNullSafe(F.lit(current[c]))
+    rule = lambda broken, name: F.when(broken, F.lit(name))
+    indexed = F.col("index_dimension").isNotNull()
+    return F.coalesce(
+        rule(F.col("recovered"), "recovered manifest"), rule(differs("schema"), "schema"), rule(differs("embedding_provider"), "embedding provider"), rule(differs("embedding_model"), "embedding model"),
+        rule(differs("model_revision"), "embedding revision"), rule(differs("model_digest"), "embedding artifact"), rule(F.col("distance_metric").isNotNull() & differs("distance_metric"), "distance metric"),
+        rule((F.col("chunks") > 0) & ~indexed, "vector strategy missing"), rule(indexed & (~F.col("vector_dimension").eqNullSafe(F.col("index_dimension")) | differs("index_model")), "vector strategy incompatible"),
+        rule(indexed & ((F.col("coverage") < 1) | (F.col("unindexed") > 0)), "vector coverage"), rule(differs("chunk_size") | differs("chunk_overlap"), "chunking"), rule(differs("policy"), "content policy"),
+    )
+
+
+def health(inventory_: DataFrame, missing_: DataFrame, stale_: DataFrame, empty: DataFrame, limit: int = 50) -> DataFrame:
+    """One row: counts and bytes of the inventory (reason null: supported), and missing, stale and empty files with previews.
+
+    A preview has the first ``limit`` paths in order and the number left out.
+    """
+    why = lambda r: F.count_if(F.col("reason") == r)
+    ok = F.col("reason").isNull()
+    out = inventory_.agg(
+        F.count("*").alias("discovered"), F.count_if(ok).alias("supported"), F.coalesce(F.sum(F.when(ok, F.col("bytes"))), F.lit(0)).alias("supported_bytes"), F.max(F.when(ok, F.col("bytes"))).alias("largest"),
+        why("unsupported-extension").alias("unsupported"), why("oversized").alias("oversized"), why("sensitive-name").alias("sensitive"),
+    )
+    for name, df in (("missing", missing_), ("stale", stale_), ("empty", empty)):
+        out = out.join(F.broadcast(preview(df, "relative_path", limit).toDF(name, f"{name}_shown", f"{name}_omitted")))
+    return out
+
+
 def snapshot_diff(local: DataFrame, peer: DataFrame) -> DataFrame:
     """(relative_path, status) of files in one corpus only or with another checksum."""
     a, b = local.select("relative_path", F.col("checksum").alias("x")), peer.select("relative_path", F.col("checksum").alias("y"))

@@ -13,9 +13,11 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodespark.session import spread
 
@@ -248,6 +250,30 @@ def with_pages(chunks_: DataFrame, pages: DataFrame, key: str = "relative_path")
     return chunks_.join(own, key, "left").withColumn("page_start", F.array_min(numbers)).withColumn("page_end", F.array_max(numbers)).drop("pages")
 
 
+def first_region(regions: Column, start: Column) -> Column:
+    """The region that places a chunk: the first one that ends after its start, else the first."""
+    return F.coalesce(F.get(F.filter(regions, lambda r: r["char_end"] > start), F.lit(0)), F.get(regions, F.lit(0)))
+
+
+def _spans_udf(made):
+    """A column of (char_start, char_end, context) structs from a function of a text."""
+    kind = T.ArrayType(T.StructType([T.StructField("char_start", T.LongType()), T.StructField("char_end", T.LongType()), T.StructField("context", T.StringType())]))
+
+    @F.pandas_udf(kind)
+    def spans(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: [{"char_start": s, "char_end": e, "context": c} for s, e, c in made(t)] if t else [])
+
+    return spans
+
+
+def region_spans(extension: str, size: int):
+    """Structural regions of texts of one kind as a column function."""
+    return _spans_udf(lambda t: [(r.start, r.end, r.context) for r in structural_regions(t, extension, size)])
+
+
+fence_spans = _spans_udf(lambda t: [(s, e, "") for s, e in fences(t)])
+
+
 def line_number(text: Column, offset: Column) -> Column:
     """The line of a position: one more than the line ends before it."""
     return 1 + F.length(F.substring(text, 1, offset)) - F.length(F.replace(F.substring(text, 1, offset), F.lit("\n"), F.lit("")))

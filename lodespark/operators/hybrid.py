@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodespark.functions.text import has_evidence
+from lodespark.functions.text import has_evidence, tokenize
 
 RRF = 60
 FARTHEST = 1.1
@@ -121,7 +121,7 @@ def mmr(rows: DataFrame, k: int, text: str = "text", rank: str = "rank", weight:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(rank, kind="stable").reset_index(drop=True)
-        sets = [set(str(t).lower().split()) for t in pdf[text]]
+        sets = [set(tokenize(t or "")) for t in pdf[text]]
         chosen: list[int] = []
         while len(chosen) < min(k, len(pdf)):
             def gain(i: int) -> float:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodespark.functions.text import tokenize, tokens
+from lodespark.functions.text import same_identifier, tokenize, tokens
 from lodespark.session import BROADCAST_KEYS, spread, stash
 
 K1, B = 1.2, 0.75
@@ -307,3 +307,28 @@ def _related(own: list[str]):
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], pa.string()), pa.array([w for _, w in out], pa.string())], ["term", "token"])
 
     return run
+
+
+def related_identifiers(vocabulary: DataFrame, asked: DataFrame, column: str = "identifier") -> DataFrame:
+    """(asked, identifier): the identifiers related to an asked one; asked ones are a stated set and meet the others in blocks."""
+    wanted = asked.select(F.col(column).alias("asked")).where("asked is not null").distinct()
+    blocks = max(1, -(-wanted.count() // BLOCK_QUERIES))
+    rows = vocabulary.select(F.col(column).alias("identifier")).where("identifier is not null").distinct()
+    every = None
+    for block in range(blocks):
+        own = [r[0] for r in wanted.where(F.pmod(F.xxhash64("asked"), F.lit(blocks)) == block).collect()]
+        part = rows.mapInArrow(_related_identifiers(own), "asked string, identifier string")
+        every = part if every is None else every.unionByName(part)
+    return every
+
+
+def _related_identifiers(own: list[str]):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_parts: dict[int, list[str]] = {}
+        for a in own:
+            by_parts.setdefault(a.count("-") + a.count("_"), []).append(a)
+        for batch in it:
+            out = [(a, i) for i in batch.column(0).to_pylist() for a in by_parts.get(i.count("-") + i.count("_"), ()) if same_identifier(a, i)]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.string()), pa.array([i for _, i in out], pa.string())], ["asked", "identifier"])
+
+    return run

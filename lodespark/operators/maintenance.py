@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GRACE_MINUTES, KEPT, AGE_DAYS = 5, 3, 7
 
@@ -81,6 +82,17 @@ def page_batches(pages: list[int], most: int = 16) -> list[list[int]]:
     return out
 
 
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+def page_spans(pages: pd.Series) -> pd.Series:
+    """``page_batches`` of an array of page numbers."""
+    return pages.map(lambda p: [] if p is None else page_batches([int(x) for x in p if x is not None]))
+
+
+@F.pandas_udf(T.StringType())
+def column_names(n: pd.Series) -> pd.Series:
+    return n.map(lambda k: None if pd.isna(k) else column_name(int(k)))
+
+
 def within_output(rows: DataFrame, most_bytes: int, by: str = "query_id", text: str = "text", rank: str = "rank") -> DataFrame:
     """The first rows of each group whose texts fit the byte budget together."""
     run = Window.partitionBy(by).orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodespark.operators.lexical import small
@@ -209,6 +209,34 @@ def probe(indexed: DataFrame, quantizer: Quantizer | None, df: DataFrame, querie
     return exact.withColumn("rank", near).where(F.col("rank") <= k).select("query_id", F.col("key").alias(key), "distance", "rank")
 
 
+def nearest_with_aliases(df: DataFrame, queries: DataFrame, k: int, key: str = "key", vector: str = "vector", digest: str = "digest", digits: int | None = None) -> DataFrame:
+    """(query_id, canonical, key, distance, rank): the ``k`` nearest contents of each query, each with every row that holds it.
+
+    Rows of one ``digest`` are one content, searched once under its smallest key.
+    """
+    first = stash(df.where(F.col(vector).isNotNull()).groupBy(digest).agg(F.min(key).alias("canonical")))
+    contents = df.join(first.select(F.col("canonical").alias(key)), key, "left_semi")
+    found = nearest(contents, queries, k, key, vector, digits=digits).withColumnRenamed(key, "canonical")
+    return found.join(first, "canonical").join(df.select(digest, key), digest).select("query_id", "canonical", key, "distance", "rank")
+
+
+def index_actions(policy: Column, rows: Column, vector: tuple[Column, Column, Column], path: tuple[Column, Column, Column], changed: Column, least_rows: int = 10_000) -> Column:
+    """What maintenance does to the vector index and the index on paths, in order.
+
+    ``policy`` is exact or ivf-pq; an index is (kind or null, indexed rows, rows not indexed). An exact policy drops the
+    vector index; otherwise one of another kind is created anew and one that is behind or of another policy refreshed.
+    Likewise the index on paths, which is kept from ``least_rows`` rows.
+    """
+    behind = lambda i: (i[2] > 0) | (i[1] != rows)
+    for_vectors = F.when(policy == "exact", F.when(vector[0].isNotNull(), "drop-vector-index")).otherwise(
+        F.when(~vector[0].eqNullSafe(F.lit("IVF_PQ")), "create-vector-index").when(changed | behind(vector), "refresh-vector-index")
+    )
+    for_paths = F.when(rows < least_rows, F.when(path[0].isNotNull(), "drop-relative-path-index")).otherwise(
+        F.when(~path[0].eqNullSafe(F.lit("BTREE")), "create-relative-path-index").when(behind(path), "refresh-relative-path-index")
+    )
+    return F.array_compact(F.array(for_vectors, for_paths))
+
+
 def recall(expected: DataFrame, actual: DataFrame, key: str = "key") -> float:
     """Share of the expected (query_id, key) rows that are in the actual ones."""
     hit = expected.select("query_id", key).join(actual.select("query_id", key).distinct(), ["query_id", key], "left_semi").count()

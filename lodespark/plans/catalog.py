@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodespark.plans import catalog_audit, catalog_search, catalog_text
+from lodespark.plans import catalog_audit, catalog_parts, catalog_search, catalog_text
 
-_MODULES = (catalog_audit, catalog_text, catalog_search)
+_MODULES = (catalog_audit, catalog_text, catalog_search, catalog_parts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

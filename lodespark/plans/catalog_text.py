@@ -14,7 +14,7 @@ _JOINS = [(".", "\ue000"), ("'", "\ue001"), ("’", "\ue002"), (":", "\ue003"),
 
 def folded_sql(c: str) -> str:
     """Lower case without accents, for the characters that the tables hold."""
-    return f"translate(lower(strip_accents(coalesce({c}, ''))), 'ºª^`', 'oa')"
+    return f"translate(lower(strip_accents(coalesce({c}, ''))), 'ºª，：；！？（）^`', 'oa,:;!?()')"
 
 
 def tokens_sql(c: str) -> str:

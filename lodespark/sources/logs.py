@@ -30,6 +30,13 @@ def access_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("logged_at", at).withColumn("valid", F.col("_corrupt").isNull() & at.isNotNull() & (F.col("action").isNotNull() | F.col("tool").isNotNull()))
 
 
+def parsed_lines(lines: DataFrame, column: str = "line") -> DataFrame:
+    """``access_lines`` of a column that holds the lines."""
+    rows = lines.withColumn("_x", F.from_json(column, LINE + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})).select(*lines.columns, "_x.*")
+    at = F.try_to_timestamp("timestamp")
+    return rows.withColumn("logged_at", at).withColumn("valid", F.col("_corrupt").isNull() & at.isNotNull() & (F.col("action").isNotNull() | F.col("tool").isNotNull()))
+
+
 def invalid_lines(lines: DataFrame) -> int:
     return lines.where("not valid").count()
 
