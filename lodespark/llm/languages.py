@@ -12,6 +12,7 @@ Without samples no text has one.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections import Counter, defaultdict
@@ -23,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodespark.session import spread
+
 ORDER = 5
 #: Distinct words whose scores a worker keeps.
 CACHE = 400_000
@@ -231,6 +234,19 @@ def train(samples: list[tuple[str, str]], calibrate: bool = True) -> Models:
     return models
 
 
+#: Models of the last samples, by their fingerprint: training takes seconds, and the samples are a fixed table.
+_trained: dict[str, Models] = {}
+
+
+def trained(samples: list[tuple[str, str]]) -> Models:
+    """``train``, once for the same samples."""
+    key = hashlib.sha256(repr(sorted(samples, key=repr)).encode()).hexdigest()
+    if key not in _trained:
+        _trained.clear()
+        _trained[key] = train(samples)
+    return _trained[key]
+
+
 def _rows_for(grams: list[str], values: dict[str, np.ndarray], wide: int) -> np.ndarray:
     n = len(grams[0])
     keys = np.array([_gram_hashes(_codes(g), n)[n - 1][-1] for g in grams], np.uint64)
@@ -398,7 +414,7 @@ def sample_rows(samples: DataFrame, bound: int = MAX_SAMPLES) -> list[tuple[str,
 
 def segmented(df: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, segment_index, char_start, char_end, lang_code, confidence, chars) of every segment of every document."""
-    models = df.sparkSession.sparkContext.broadcast(train(sample_rows(samples)))
+    models = df.sparkSession.sparkContext.broadcast(trained(sample_rows(samples)))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "segment_index", "char_start", "char_end", "lang_code", "confidence", "chars"]
@@ -413,7 +429,7 @@ def segmented(df: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_co
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
 
-    rows = df.where(F.length(text_col) > 0).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = spread(df.where(F.length(text_col) > 0).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id")
     schema = "doc_id long, segment_index int, char_start long, char_end long, lang_code string, confidence double, chars long"
     return rows.mapInArrow(run, schema)
 

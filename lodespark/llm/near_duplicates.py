@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodespark.llm import setsketch as S
+from lodespark.operators.lexical import small
 from lodespark.session import semi_by_key, stash
 
 BANDS, ROWS = 20, 3
@@ -309,9 +310,13 @@ def row_pairs(links: DataFrame, rows: DataFrame) -> DataFrame:
     both = links.select("a", "b").unionByName(rows.groupBy("cls").agg(F.count("*").alias("c")).where("c > 1").select(F.col("cls").alias("a"), F.col("cls").alias("b")))
     ids = both.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     members = semi_by_key(rows, ids, "cls").select("id", "path", "cls")
+    # the members of a class of many copies meet in several tasks: one side is dealt over salts, the other stands in each
+    many = small(members.groupBy("cls").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK).select("cls", F.ceil(F.col("c") / BLOCK).cast("int").alias("salts")))
+    salted = members.join(many, "cls", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     a = members.select(F.col("cls").alias("a"), F.col("id").alias("ia"), F.col("path").alias("pa"))
-    b = members.select(F.col("cls").alias("b"), F.col("id").alias("ib"), F.col("path").alias("pb"))
-    out = both.join(a, "a").join(b, "b").where(~F.col("pa").eqNullSafe(F.col("pb")) & ((F.col("a") != F.col("b")) | (F.col("ia") < F.col("ib"))))
+    b = salted.select(F.col("cls").alias("b"), F.col("id").alias("ib"), F.col("path").alias("pb"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    left = both.join(many.select(F.col("cls").alias("b"), "salts"), "b", "left").join(a, "a").withColumn("salt", F.pmod(F.xxhash64("ia"), F.coalesce("salts", F.lit(1))).cast("int"))
+    out = left.join(b, ["b", "salt"]).where(~F.col("pa").eqNullSafe(F.col("pb")) & ((F.col("a") != F.col("b")) | (F.col("ia") < F.col("ib"))))
     return out.select(F.least("ia", "ib").alias("row_id_a"), F.greatest("ia", "ib").alias("row_id_b"))
 
 

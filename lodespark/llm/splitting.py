@@ -44,14 +44,15 @@ def strengths(text: str) -> np.ndarray:
 
 
 class RangeMax:
-    """Sparse table: the rightmost position of the maximum over any range."""
+    """Sparse table: the rightmost position of the maximum over any range of up to ``widest`` positions."""
 
-    def __init__(self, values: np.ndarray) -> None:
+    def __init__(self, values: np.ndarray, widest: int | None = None) -> None:
         n = len(values)
+        widest = n if widest is None else min(n, widest)
         # value and position in one number: the larger position wins a tie
         level = values.astype(np.int64) * (n + 1) + np.arange(n)
         self.n, self.levels, width = n, [level], 1
-        while 2 * width <= n:
+        while 2 * width <= widest:
             level = np.maximum(level[:-width], level[width:])
             self.levels.append(level)
             width *= 2
@@ -70,8 +71,8 @@ def spans(text: str, size: int = SIZE, overlap: int = OVERLAP, least_share: floa
     n = len(text)
     if n <= size:
         return [(0, n)]
-    index = RangeMax(strengths(text))
     least = min(size, max(overlap + 1, int(size * least_share)))
+    index = RangeMax(strengths(text), size - least + 1)
     out, start = [], 0
     while n - start > size:
         cut = index.argmax(start + least, start + size)
@@ -94,7 +95,7 @@ def split(
 
     ``piece_start`` counts within the row's text, ``char_start`` and ``char_end`` within the file, null where the row's
     own is null. Rows within the limit pass by without leaving the JVM. A row is a task's smallest unit; its memory is
-    about 20 numbers a character of the longest text.
+    about ten numbers a character of the longest text.
     """
     names = ["row_id", "relative_path", "chunk_index", "piece_index", "pieces", "piece_start", "char_start", "char_end", "text"]
     schema = "row_id long, relative_path string, chunk_index int, piece_index int, pieces int, piece_start long, char_start long, char_end long, text string"
