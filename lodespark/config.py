@@ -51,6 +51,8 @@ class Config:
     custom_redactions: tuple[RedactionRule, ...] = ()
     include_extensions: tuple[str, ...] = ()
     extractors: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    ann_least_rows: int = 100_000
+    fingerprint_days: int = 30
     window_files: int = 64
     window_bytes: int = 50_000_000
     window_chunks: int = 8_192

@@ -79,9 +79,9 @@ def staged(rows: DataFrame, queries: DataFrame, limit: int, minimum: int, key: s
     first = stash(first)
     have = first.groupBy("query_id").agg(F.count("*").alias("have"))
     short = asked.join(have, "query_id", "left").withColumn("have", F.coalesce("have", F.lit(0))).where(F.col("have") < minimum)
-    terms = stash(_expanded(rows, variants(short)))
-    if not terms.limit(1).count():
+    if not short.limit(1).count():
         return _placed(first)
+    terms = stash(_expanded(rows, variants(short)))
     found = lexical.scored(rows, key, terms.select("q", "token", "boost"), limit).withColumnRenamed("key", "_key")
     found = found.join(terms.select("q", "query_id", "variant").distinct(), "q").select("query_id", F.col("_key").alias(key), "variant", "rank", "score")
     found = found.join(first.select("query_id", key), ["query_id", key], "left_anti")

@@ -11,9 +11,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodespark.functions.text import same_identifier, tokenize, tokens
 from lodespark.session import BROADCAST_KEYS, spread, stash
@@ -60,6 +62,14 @@ def index(df: DataFrame, key: str, text: str, only: list[str] | None = None) ->
     return rows.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, len int, tokens array<string>, tfs array<int>")
 
 
+@F.pandas_udf(T.StructType([T.StructField("len", T.IntegerType()), T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("tfs", T.ArrayType(T.IntegerType()))]))
+def index_columns(text: pd.Series) -> pd.DataFrame:
+    """The columns of ``index`` of a text, for tables that keep them beside it."""
+    every = [tokenize(t) if t else [] for t in text]
+    counts = [Counter(e) for e in every]
+    return pd.DataFrame({"len": [len(e) for e in every], "tokens": [list(c) for c in counts], "tfs": [list(c.values()) for c in counts]})
+
+
 def postings(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, token, tf, len): each token of each text, how often it stands there and how many tokens the text has."""
     each = index(df, key, text).select(key, "len", F.explode(F.arrays_zip("tokens", "tfs")).alias("x"))

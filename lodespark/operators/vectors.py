@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodespark.operators.lexical import small
@@ -139,6 +139,15 @@ class Quantizer:
     def decode(self, codes: np.ndarray, cell: np.ndarray) -> np.ndarray:
         return self.cells[cell] + np.concatenate([self.books[m][codes[:, m]] for m in range(len(self.books))], 1)
 
+    def table(self, spark: SparkSession) -> DataFrame:
+        """The quantizer as a table of two rows."""
+        return spark.createDataFrame([(n, list(x.shape), bytearray(x.astype(np.float64).tobytes())) for n, x in (("cells", self.cells), ("books", self.books))], "name string, shape array<int>, data binary")
+
+    @staticmethod
+    def load(table: DataFrame) -> Quantizer:
+        parts = {r["name"]: np.frombuffer(bytes(r["data"]), np.float64).reshape(r["shape"]) for r in table.collect()}
+        return Quantizer(parts["cells"], parts["books"])
+
 
 def fit_quantizer(df: DataFrame, cells: int, sub_vectors: int, key: str = "vec_id", vector: str = "embedding", fit_rows: int = FIT_ROWS, seed: int = 3) -> Quantizer | None:
     """Cells and codebooks by Lloyd's rounds on a bounded sample; None without rows. The width must be a multiple of ``sub_vectors``."""

@@ -10,6 +10,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodespark.session import stash
+
 #: Endings that are read.
 SUPPORTED = (
     ".atom .adoc .astro .bash .bat .c .cjs .cfg .cmd .conf .cpp .cs .css .csv .cts .diff .docx .eml .epub .example .exemple .go .h .hpp .htm .html .ics .ini .java .js .json .jsonl .jsx .ipynb"
@@ -100,18 +102,44 @@ def matches(path: Column, patterns: Iterable[str]) -> Column:
     return functools.reduce(operator.or_, out) if out else F.lit(False)
 
 
-def scanned(spark: SparkSession, root: str, include: Iterable[str] = (), exclude: Iterable[str] = (), content: bool = False) -> DataFrame:
-    """Files below ``root`` with size, time and SHA-256; the listing is parallel and the hash runs where the bytes are."""
+#: Paths that are named one by one to a reader; more are read by a scan of all.
+NAMED_PATHS = 20_000
+
+
+def _escaped(path: str) -> str:
+    """A path without the signs that a reader takes for patterns."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
+def scanned(spark: SparkSession, root: str, include: Iterable[str] = (), exclude: Iterable[str] = (), content: bool = False, known: DataFrame | None = None) -> DataFrame:
+    """Files below ``root`` with size, time and SHA-256; the listing is parallel and the hash runs where the bytes are.
+
+    ``known`` has (relative_path, bytes, mtime_ms, cached_checksum): files of the same size and time take that checksum and
+    their bytes aren't read. With ``content`` the files that were read bring theirs, the others null.
+    """
     base = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    path = F.regexp_replace(F.col("path"), r"^file:(?://)?", "")
-    rows = files.select(
-        F.substring(path, len(base) + 2, 1 << 30).alias("relative_path"), F.col("length").alias("bytes"),
-        (F.unix_micros("modificationTime") / 1000.0).alias("mtime_ms"), F.sha2("content", 256).alias("checksum"), *(["content"] if content else []),
-    )
-    rows = rows.withColumn("source", F.substring_index("relative_path", "/", 1)).withColumn("extension", extension_of(F.col("relative_path")))
-    if inc := list(include):
-        rows = rows.where(matches(F.col("relative_path"), inc))
-    if exc := list(exclude):
-        rows = rows.where(~matches(F.col("relative_path"), exc))
-    return rows
+    path = F.substring(F.regexp_replace(F.col("path"), r"^file:(?://)?", ""), len(base) + 2, 1 << 30).alias("relative_path")
+    facts = F.col("length").alias("bytes"), (F.unix_micros("modificationTime") / 1000.0).alias("mtime_ms")
+    bytes_of = F.sha2("content", 256).alias("checksum"), *(["content"] if content else [])
+    inc, exc = list(include), list(exclude)
+
+    def load(*paths: str) -> DataFrame:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
+
+    def kept(rows: DataFrame) -> DataFrame:
+        rows = rows.where(matches(F.col("relative_path"), inc)) if inc else rows
+        return rows.where(~matches(F.col("relative_path"), exc)) if exc else rows
+
+    if known is None:
+        rows = kept(load(base).select(path, *facts, *bytes_of))
+    else:
+        cached = known.select("relative_path", "bytes", "mtime_ms", "cached_checksum")
+        seen = stash(kept(load(base).select(path, *facts)).join(cached, ["relative_path", "bytes", "mtime_ms"], "left"))
+        changed = seen.where("cached_checksum is null").select("relative_path")
+        names = [r[0] for r in changed.limit(NAMED_PATHS + 1).collect()]
+        same = seen.where("cached_checksum is not null").withColumnRenamed("cached_checksum", "checksum").withColumns({"content": F.lit(None).cast("binary")} if content else {})
+        if len(names) > NAMED_PATHS:
+            rows = same.unionByName(load(base).select(path, *facts, *bytes_of).join(changed, "relative_path", "left_semi"))
+        else:
+            rows = same.unionByName(load(*(f"{base}/{_escaped(n)}" for n in names)).select(path, *facts, *bytes_of)) if names else same
+    return rows.withColumn("source", F.substring_index("relative_path", "/", 1)).withColumn("extension", extension_of(F.col("relative_path")))

@@ -1,18 +1,20 @@
 """Incremental ingestion as a stream: files arrive, each batch is merged into the store, the checkpoint remembers.
 
-The merge is by path and chunk id, so a batch that runs again after a failure gives the same index.
+Each batch is a layer over the index, so its cost follows the batch. The merge is by path, so a batch that runs again after
+a failure gives the same index.
 """
 
 from __future__ import annotations
 
 import functools
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lodespark.operators import audit
 from lodespark.plans.engine import FILES, Engine
+from lodespark.plans.generations import layers_of
 from lodespark.sources import inventory, parsers
 
 SOURCE = "path string, modificationTime timestamp, length long, content binary"
@@ -38,23 +40,14 @@ def merge_batch(engine: Engine, root: str, batch: DataFrame, batch_id: int) -> N
         return
     with store.writing():
         old = store.manifest()
+        layers = layers_of(old) if old and old.get("policy") == engine.config.policy_fingerprint() else []
+        known = store.layered("files", layers) if layers else None
         generation = store.new_generation()
         parsed = parsers.parsed(files, engine.config.extractors).withColumn("source", F.substring_index("relative_path", "/", 1))
         store.write(parsed, generation, "parsed")
-        parsed = store.table("parsed", generation)
-        new = engine.chunks_of(parsed)
-        state = parsed.select("relative_path", "source", "extension", "checksum", "bytes", "mtime_ms", "error")
-        if old is not None:
-            before = store.table("chunks", old["generation"])
-            new = audit.delete_paths(before, parsed.where("error is null")).unionByName(new.select(*before.columns))
-            known = store.table("files", old["generation"]).drop("chunk_count")
-            state = audit.delete_paths(known, parsed).select(*state.columns).unionByName(state)
-        store.write(new, generation, "chunks")
-        counts = store.table("chunks", generation).groupBy("relative_path").agg(F.count("*").cast("int").alias("chunk_count"))
-        out = state.join(counts, "relative_path", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
-        store.write(out, generation, "files")
-        totals = store.table("files", generation).agg(F.count("*"), F.coalesce(F.sum("chunk_count"), F.lit(0)), F.count("error")).first()
-        store.activate(generation, engine.config, {"files": totals[0], "chunks": int(totals[1]), "errors": totals[2], "batch": batch_id})
+        now = time.time()
+        counts = engine.write_layer(generation, store.table("parsed", generation), None, known, layers, True, now)
+        engine.activate_layer(generation, counts | {"batch": batch_id}, layers, now)
 
 
 def ingest_available(engine: Engine, root: str, checkpoint: str, files_per_batch: int = 1_000) -> StreamingQuery:
