@@ -1,17 +1,21 @@
 """Text of files by their ending: Office and EPUB archives, HTML, XML, JSON, YAML, RTF and plain text.
 
 A file's parse is one struct: text, located regions, and an error instead of an exception. Archives are read within
-limits on entries and sizes. PDF has no reader in the standard library, so it is left to an external command.
+limits on entries and sizes. PDF pages are read by ``pdf``; those without text go to a command that recognises them, if one
+is set under ``.pdf``, unless the cache of recognised pages has them.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import html
 import io
 import json
 import posixpath
 import re
 import subprocess
+import threading
 import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -22,7 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodespark.operators.maintenance import column_name
+from lodespark.operators.maintenance import column_name, page_batches
+from lodespark.sources import pdf
+from lodespark.sources.logs import page_key
 
 #: Limits of an archive: entries, bytes of an entry, bytes in all.
 MOST_ENTRIES, MOST_ENTRY, MOST_TOTAL = 512, 25_000_000, 50_000_000
@@ -236,30 +242,74 @@ _ARCHIVES = {".docx": docx_parts, ".pptx": pptx_parts, ".xlsx": xlsx_parts, ".od
 _TEXTS = {".html": html_text, ".htm": html_text, ".json": json_text, ".ipynb": json_text, ".yaml": yaml_text, ".yml": yaml_text, ".xml": xml_text, ".svg": xml_text, ".rss": xml_text, ".atom": xml_text}
 
 
-def run_command(command: tuple[str, ...], path: str, timeout: int = TIMEOUT, cap: int = OUTPUT_CAP) -> str:
-    """The output of an external reader: arguments as a list, {path} replaced, no shell, time and output limited."""
-    args = [a.replace("{path}", path) for a in command]
+def run_command(command: tuple[str, ...], path: str, timeout: float = TIMEOUT, cap: int = OUTPUT_CAP, **values: str) -> str:
+    """The output of an external reader: arguments as a list, {path} and other names replaced, no shell, time and output limited.
+
+    It is read as it comes and the reader ended once it is beyond the cap or the time, first asked to, then killed.
+    """
+    args = [functools.reduce(lambda a, kv: a.replace("{" + kv[0] + "}", kv[1]), {"path": path, **values}.items(), a) for a in command]
     try:
-        done = subprocess.run(args, capture_output=True, timeout=timeout, check=False)
-    except subprocess.TimeoutExpired as e:
-        raise ParseError("the reader took too long") from e
+        done = subprocess.Popen(args, stdin=subprocess.DEVNULL, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
     except OSError as e:
         raise ParseError(f"the reader can't be run: {e}") from e
-    if done.returncode:
-        raise ParseError(f"the reader ended with {done.returncode}")
-    if len(done.stdout) > cap:
-        raise ParseError("the reader wrote too much")
-    return done.stdout.decode("utf-8", "replace")
-
-
-def parse(content: bytes, extension: str, path: str = "", commands: dict[str, tuple[str, ...]] | None = None) -> list[Part]:
+    late = threading.Event()
+    timer = threading.Timer(timeout, lambda: (late.set(), done.terminate()))
+    timer.start()
+    out = bytearray()
+    try:
+        while piece := done.stdout.read1(1 << 16):
+            out += piece
+            if len(out) > cap:
+                raise ParseError("the reader wrote too much")
+        code = done.wait(5)
+    except subprocess.TimeoutExpired:
+        code = -1
+    finally:
+        timer.cancel()
+        if done.poll() is None:
+            done.terminate()
+            try:
+                done.wait(2)
+            except subprocess.TimeoutExpired:
+                done.kill()
+                done.wait()
+        done.stdout.close()
+    if late.is_set():
+        raise ParseError("the reader took too long")
+    if code:
+        raise ParseError(f"the reader ended with {code}")
+    return out.decode("utf-8", "replace")
+
+
+def pdf_parts(content: bytes, path: str, command: tuple[str, ...] | None, cached: dict[str, str] | None = None) -> list[Part]:
+    """One part per page with text; blank pages come from ``cached`` by key, else from the command, in batches of {pages}.
+
+    The command prints its pages with a form feed between them.
+    """
+    try:
+        texts = pdf.pages(content)
+    except pdf.PdfError as e:
+        raise ParseError(str(e)) from e
+    checksum = hashlib.sha256(content).hexdigest()
+    blank = [k for k, t in enumerate(texts, 1) if not t]
+    for k in blank:
+        if cached and (key := page_key(checksum, k, command or ())) in cached:
+            texts[k - 1] = cached[key]
+    for own in page_batches([k for k in blank if not texts[k - 1]]) if command else ():
+        read = run_command(command, path, pages=",".join(map(str, own))).split("\f")
+        for k, t in zip(own, read):
+            texts[k - 1] = t.strip()
+    return [(t, "page", k, k, "", "", "") for k, t in enumerate(texts, 1) if t]
+
+
+def parse(content: bytes, extension: str, path: str = "", commands: dict[str, tuple[str, ...]] | None = None, cached: dict[str, str] | None = None) -> list[Part]:
     """The located parts of a file."""
     if extension in _ARCHIVES:
         return _ARCHIVES[extension](archive(content))
+    if extension == ".pdf":
+        return pdf_parts(content, path, (commands or {}).get(".pdf"), cached)
     if commands and extension in commands:
         return [(run_command(commands[extension], path), "", 0, 0, "", "", "")]
-    if extension == ".pdf":
-        raise ParseError("no reader for PDF is set")
     text = content.decode("utf-8", "replace").lstrip("﻿")
     if extension == ".rtf":
         text = re.sub(r"[{}]", "", re.sub(r"\\[a-zA-Z]+-?\d* ?", "", re.sub(r"\\'[0-9a-fA-F]{2}", " ", re.sub(r"\\pard?\b", "\n", text)))).strip()

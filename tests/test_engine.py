@@ -191,14 +191,60 @@ def test_parsers():
     assert parsers.json_text('{"a":[1]}') == '{\n  "a": [\n    1\n  ]\n}' and parsers.json_text("{") == "{"
     assert parsers.parse(b"\xef\xbb\xbfplain", ".txt")[0][0] == "plain"
     assert parsers.parse(b"{\\rtf1 Hello\\par World}", ".rtf")[0][0] == "Hello\n World" or "Hello" in parsers.parse(b"{\\rtf1 Hello\\par World}", ".rtf")[0][0]
-    for bad in ((b"x", ".docx"), (b"%PDF", ".pdf"), (office({f"{k}.xml": "" for k in range(600)}), ".docx"), (office({"a.xml": ""}), ".docx")):
+    for bad in ((b"x", ".docx"), (b"%PDF-1.4", ".pdf"), (b"no", ".pdf"), (office({f"{k}.xml": "" for k in range(600)}), ".docx"), (office({"a.xml": ""}), ".docx")):
         with pytest.raises(parsers.ParseError):
             parsers.parse(*bad)
-    assert parsers.parse(b"%PDF", ".pdf", "name", {".pdf": ("echo", "read {path}")})[0][0].strip() == "read name"
+    assert parsers.parse(b"x", ".doc", "name", {".doc": ("echo", "read {path}")})[0][0].strip() == "read name"
     with pytest.raises(parsers.ParseError):
         parsers.run_command(("false",), "x")
     with pytest.raises(parsers.ParseError):
         parsers.run_command(("sleep", "5"), "x", timeout=1)
+    with pytest.raises(parsers.ParseError, match="too much"):
+        parsers.run_command(("yes",), "x", cap=100_000)
+
+
+def pdf_file(pages, packed=True):
+    """A PDF with these page contents, the second font of each with a ToUnicode map."""
+    import zlib
+
+    table = b"2 beginbfchar <01> <00e9> <02> <4e2d> endbfchar 1 beginbfrange <41> <43> <0061> endbfrange"
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 3: b"<< /Type /Font /Subtype /Type1 >>", 4: b"<< /Type /Font /ToUnicode 5 0 R >>", 5: (b"", table)}
+    kids = []
+    for k, text in enumerate(pages):
+        objects[10 + 2 * k], objects[11 + 2 * k] = f"<< /Type /Page /Parent 2 0 R /Contents {11 + 2 * k} 0 R >>".encode(), (b"", text)
+        kids.append(f"{10 + 2 * k} 0 R")
+    objects[2] = f"<< /Type /Pages /Kids [{' '.join(kids)}] /Count {len(kids)} /Resources << /Font << /F1 3 0 R /F2 4 0 R >> >> >>".encode()
+    out = b"%PDF-1.5\n"
+    for n, body in objects.items():
+        if isinstance(body, tuple):
+            data = zlib.compress(body[1]) if packed else body[1]
+            body = b"<< /Length %d%s >>\nstream\n%s\nendstream" % (len(data), b" /Filter /FlateDecode" if packed else b"", data)
+        out += b"%d 0 obj\n%s\nendobj\n" % (n, body)
+    return out + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+def test_pdf_pages(tmp_path):
+    pages = [b"BT /F1 12 Tf 72 700 Td (Hello \\(PDF\\) w\\151th) Tj 0 -14 Td [(two) -300 (words) 20 (!)] TJ ET", b"", b"BT /F2 9 Tf 1 0 0 1 0 0 Tm <0102> Tj (ABC) ' ET"]
+    for packed in (True, False):
+        got = parsers.parse(pdf_file(pages, packed), ".pdf")
+        assert [(p[0], p[1], p[2]) for p in got] == [("Hello (PDF) with\ntwo words!", "page", 1), ("é中\nabc", "page", 3)]
+    script = tmp_path / "read.sh"
+    script.write_text('#!/bin/sh\nprintf "recognised $2"\n')
+    command = {".pdf": ("sh", str(script), "{path}", "{pages}")}
+    assert [(p[0], p[2]) for p in parsers.parse(pdf_file(pages), ".pdf", "x", command)][1] == ("recognised 2", 2)
+    import hashlib
+
+    key = logs.page_key(hashlib.sha256(pdf_file(pages)).hexdigest(), 2, command[".pdf"])
+    assert parsers.parse(pdf_file(pages), ".pdf", "x", command, {key: "from the cache"})[1][0] == "from the cache"
+    with pytest.raises(parsers.ParseError, match="encrypted"):
+        parsers.parse(pdf_file(pages) + b"/Encrypt 9 0 R", ".pdf")
+
+
+def test_pdf_pages_are_cited(spark, tmp_path):
+    put(tmp_path / "c", "a.pdf", pdf_file([b"BT (The first page tells of ledgers) Tj ET", b"BT (The second page tells of turbines) Tj ET"]))
+    e = Engine(spark, str(tmp_path / "s"), Config(chunk_size=40, chunk_overlap=0))
+    e.ingest(str(tmp_path / "c"))
+    assert any(r.citation.startswith("a.pdf:p2") for r in e.search(ask(spark, "turbines")).collect())
 
 
 def test_sidecars(spark, tmp_path):
@@ -247,3 +293,63 @@ def test_service():
         pass
     with gate():
         pass
+
+
+def test_misspelled_and_accented_queries(spark, engine):
+    got = {}
+    for r in engine.search(ask(spark, "warehouze", "documénts", "how many documents"), explain=True).collect():
+        got.setdefault(r.query_id, []).append(r)
+    assert {r.relative_path for r in got[1]} & {"docs/copy.txt", "code/x.py"}  # one edit away
+    assert got[2][0].relative_path == "docs/policy.md" and got[2][0].matched_terms == ["documents"]
+
+
+def test_approximate_search_and_layers(spark, tmp_path, monkeypatch):
+    from lodespark.plans import engine as engines
+
+    root, seen = tmp_path / "c", []
+    for k in range(40):
+        put(root, f"d/{k:02d}.txt", f"File {k} is about {'red green blue'.split()[k % 3]} item number {k * 7}.")
+    e = Engine(spark, str(tmp_path / "s"), Config(ann_least_rows=1), on_progress=lambda stage, counts: seen.append(stage))
+    m = e.ingest(str(root))
+    assert m["vector_index"]["strategy"] == "ivf-pq" and e.store.table("codes").count() == 40 and seen == ["inventoried", "parsed", "embedded", "indexed"]
+    put(root, "d/00.txt", "File zero is about violet things now.")
+    os.remove(root / "d/01.txt")
+    m = e.ingest(str(root))
+    assert (m["files"], m["chunks"], m["reused"], len(m["layers"])) == (39, 39, 38, 2)
+    assert e.store.table("parsed", m["generation"]).count() == 1 and e.store.table("codes").count() == 39  # only what changed was read
+    exact = Engine(spark, e.store)
+    q = ask(spark, "violet things")
+    assert [(r.relative_path, r.rank) for r in e.search(q).collect()] == [(r.relative_path, r.rank) for r in exact.search(q).collect()]
+    assert e.search(q).first().relative_path == "d/00.txt"
+    monkeypatch.setattr(engines, "MOST_LAYERS", 2)
+    put(root, "d/02.txt", "File two is about orange.")
+    m = e.ingest(str(root))
+    assert len(m["layers"]) == 1 and e.store.count() == 39 and {r.text for r in e.store.table("chunks").where("relative_path = 'd/02.txt'").collect()} == {"File two is about orange."}
+    export_bundle(e.store, str(tmp_path / "b"))
+    assert verify_bundle(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_lines_end_where_a_redaction_had_line_ends(spark, tmp_path):
+    put(tmp_path / "c", "a.txt", "one\n-----BEGIN PRIVATE KEY-----\nabc\n-----END PRIVATE KEY-----\ntwo\n")
+    put(tmp_path / "c", "b.txt", "one\nmail a.b@c.example\ntwo\n")
+    e = Engine(spark, str(tmp_path / "s"))
+    e.ingest(str(tmp_path / "c"))
+    assert {r.relative_path: r.line_end for r in e.store.table("chunks").collect()} == {"a.txt": None, "b.txt": 3}
+
+
+def test_unread_files_keep_their_checksums(spark, tmp_path):
+    from lodespark.sources import inventory
+
+    put(tmp_path, "a.txt", "x")
+    put(tmp_path, "b [1].txt", "y")
+    first = inventory.scanned(spark, str(tmp_path))
+    known = spark.createDataFrame([(r.relative_path, r.bytes, r.mtime_ms, "cached") for r in first.where("relative_path = 'a.txt'").collect()], "relative_path string, bytes long, mtime_ms double, cached_checksum string")
+    got = {r.relative_path: (r.checksum[:6], r.content) for r in inventory.scanned(spark, str(tmp_path), content=True, known=known).collect()}
+    assert got["a.txt"] == ("cached", None) and got["b [1].txt"][1] == b"y"
+    cache = spark.createDataFrame([("a.txt", 1, "2025-01-01"), ("b", 1, "2020-01-01"), ("c", 1, "2026-01-01")], "relative_path string, bytes int, day string").selectExpr("relative_path", "bytes", "cast(day as timestamp_ntz) verified_at", "'h' checksum")
+    from lodespark.operators import audit
+
+    files = spark.createDataFrame([("a.txt", 1), ("b", 1), ("c", 1), ("a.txt", 2)], "relative_path string, bytes int")
+    out = sorted((r.relative_path, r.bytes, r.cached_checksum) for r in audit.reusable_fingerprints(files, cache, "2025-01-10 00:00:00").collect())
+    assert out == [("a.txt", 1, "h"), ("a.txt", 2, None), ("b", 1, None), ("c", 1, None)]
+    assert audit.reusable_fingerprints(files, cache, "2025-01-10 00:00:00", strict=True).where("cached_checksum is not null").count() == 0
