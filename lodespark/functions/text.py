@@ -152,6 +152,11 @@ class Evidence:
 _IDENTIFIER = re.compile(r"[^\W_]+(?:[-_][^\W_]+)+")
 
 
+def compound_words(text: str) -> set[str]:
+    """``identifiers`` of a text in Python."""
+    return set(_IDENTIFIER.findall(normalized(text)))
+
+
 @lru_cache(10_000)
 def _wanted(query: str) -> tuple[list[str], list[str]]:
     """(anchors, tokens) of a query."""

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodespark.functions.text import same_identifier, tokenize, tokens
+from lodespark.functions.text import compound_words, same_identifier, tokenize, tokens
 from lodespark.session import BROADCAST_KEYS, spread, stash
 
 K1, B = 1.2, 0.75
@@ -98,29 +98,34 @@ def _counting(wanted: set[str] | None):
     return run
 
 
-def scored(indexed: DataFrame, key: str, asked: DataFrame, k: int | None, digits: int = 9) -> DataFrame:
+Terms = list[tuple[int, str, float]]
+
+
+def sent(asked: DataFrame) -> Terms | DataFrame:
+    """(q, token, boost) of the terms of queries: on the driver where they are few enough to send, else as a table."""
+    boost = F.col("boost") if "boost" in asked.columns else F.lit(1.0)
+    asked = asked.select("q", "token", boost.cast("double").alias("boost"))
+    terms = asked.limit(SENT_TOKENS + 1).collect()
+    return [tuple(r) for r in terms] if len(terms) <= SENT_TOKENS else stash(asked)
+
+
+def scored(indexed: DataFrame, key: str, asked: DataFrame | Terms, k: int | None, digits: int = 9) -> DataFrame:
     """(q, key, score[, rank]) by BM25 of the rows of an index; with ``k`` the best of each query, ties by key, else all above 0.
 
-    ``asked`` is (q, token) with an optional ``boost``, ``key`` a whole number. N and the mean length are those of all rows,
-    null and empty texts included; a mean length of 0 counts as 1. Scores are rounded to ``digits`` before they are ranked.
+    ``asked`` is (q, token) with an optional ``boost``, or what ``sent`` made of it, ``key`` a whole number. N and the mean
+    length are those of all rows, null and empty texts included; a mean length of 0 counts as 1. Scores are rounded to
+    ``digits`` before they are ranked.
     """
-    boost = F.col("boost") if "boost" in asked.columns else F.lit(1.0)
-    asked = stash(asked.select("q", "token", boost.cast("double").alias("boost")))
-    queries, tokens = asked.agg(F.countDistinct("q"), F.countDistinct("token")).first()
-    few = tokens <= SENT_TOKENS
-    wanted = {r[0] for r in asked.select("token").distinct().collect()} if few else None
-    counts = indexed.select("len", "tokens").mapInArrow(_counting(wanted), "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    asked = sent(asked) if isinstance(asked, DataFrame) else asked
+    few = isinstance(asked, list)
+    counts = indexed.select("len", "tokens").mapInArrow(_counting({t for _, t, _ in asked} if few else None), "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
     counts = counts if few else stash(counts)
     known = {r[0]: r[1] for r in (counts if few else counts.where("token is null or token = ''")).collect()}
     docs, mean = known.get(None, 0), (known.get("", 0) / known[None] if known.get(None) else 0.0) or 1.0
-    blocks = max(1, -(-queries // BLOCK_QUERIES))
     rows = indexed.select(F.col(key).cast("long").alias("key"), *INDEX)
     parts = []
-    for block in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block)
-        # many tokens: those of the block alone come to the driver
-        terms = [(r[0], r[1], r[2], known.get(r[1], 0)) for r in own.collect()] if few else [tuple(r) for r in own.join(counts, "token").select("q", "token", "boost", "n").collect()]
-        terms = [(q, t, w * float(np.log(1 + (docs - n + 0.5) / (n + 0.5)))) for q, t, w, n in terms if n]
+    for own in _blocks(asked, counts, known):
+        terms = [(q, t, w * float(np.log(1 + (docs - n + 0.5) / (n + 0.5)))) for q, t, w, n in own if n]
         if terms:
             parts.append(rows.mapInArrow(_scoring(terms, mean, k, digits), "q long, key long, score double"))
     if not parts:
@@ -131,6 +136,22 @@ def scored(indexed: DataFrame, key: str, asked: DataFrame, k: int | None, digits
     return top(every, "q", [F.desc("score"), F.col("key")], k) if k else every
 
 
+def _blocks(asked: DataFrame | Terms, counts: DataFrame, known: dict[str | None, int]) -> Iterator[list[tuple[int, str, float, int]]]:
+    """(q, token, boost, rows with the token) of the queries of one block after the other; only a block is on the driver."""
+    if isinstance(asked, list):
+        queries = sorted({q for q, _, _ in asked})
+        block = {q: n // BLOCK_QUERIES for n, q in enumerate(queries)}
+        out: list[list] = [[] for _ in range(0, len(queries), BLOCK_QUERIES)]
+        for q, t, w in asked:
+            out[block[q]].append((q, t, w, known.get(t, 0)))
+        yield from out
+        return
+    blocks = -(-asked.select("q").distinct().count() // BLOCK_QUERIES)
+    for n in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == n)
+        yield [tuple(r) for r in own.join(counts, "token").select("q", "token", "boost", "n").collect()]
+
+
 def _scoring(own: list[tuple[int, str, float]], mean: float, k: int | None, digits: int):
     ids = np.array(sorted({q for q, _, _ in own}), np.int64)
     place = {q: j for j, q in enumerate(ids.tolist())}
@@ -198,11 +219,10 @@ def _scoring(own: list[tuple[int, str, float]], mean: float, k: int | None, digi
     return run
 
 
-def _index_for(df: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, terms: str) -> tuple[DataFrame, DataFrame]:
-    """The index of one search as a table, of the asked tokens where they are few enough to send, else of all; and (q, token)."""
-    asked = stash(queries.select(F.col(query_key).cast("long").alias("q"), F.explode(F.array_distinct(terms)).alias("token")))
-    wanted = [r[0] for r in asked.select("token").distinct().limit(SENT_TOKENS + 1).collect()]
-    return stash(index(df, key, text, wanted if len(wanted) <= SENT_TOKENS else None)), asked
+def _index_for(df: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, terms: str) -> tuple[DataFrame, DataFrame | Terms]:
+    """The index of one search as a table, of the asked tokens where they are few enough to send, else of all; and the terms."""
+    asked = sent(queries.select(F.col(query_key).cast("long").alias("q"), F.explode(F.array_distinct(terms)).alias("token")))
+    return stash(index(df, key, text, sorted({t for _, t, _ in asked}) if isinstance(asked, list) else None)), asked
 
 
 def bm25(df: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, terms: str) -> DataFrame:
@@ -319,6 +339,35 @@ def _related(own: list[str]):
     return run
 
 
+def identifier_rows(df: DataFrame, key: str, text: str, asked: DataFrame) -> DataFrame:
+    """(q, identifier, key): the rows that name an identifier with a digit or underscore of a query (q, identifier).
+
+    The queries' identifiers meet the rows in blocks, so one that many rows name is no key of a shuffle.
+    """
+    wanted = stash(asked.select(F.col("q").cast("long").alias("q"), "identifier").distinct())
+    blocks = max(1, -(-wanted.count() // SENT_TOKENS))
+    rows = spread(df.where(F.length(text) > 0).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), "key")
+    every = None
+    for block in range(blocks):
+        own = [tuple(r) for r in wanted.where(F.pmod(F.xxhash64("q", "identifier"), F.lit(blocks)) == block).collect()]
+        part = rows.mapInArrow(_identifier_rows(own), "q long, identifier string, key long")
+        every = part if every is None else every.unionByName(part)
+    return every
+
+
+def _identifier_rows(own: list[tuple[int, str]]):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_name: dict[str, list[int]] = {}
+        for q, i in own:
+            by_name.setdefault(i, []).append(q)
+        for batch in it:
+            out = [(q, i, k) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i in sorted(compound_words(t)) for q in by_name.get(i, ())]
+            columns = list(zip(*out)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], ["q", "identifier", "key"])
+
+    return run
+
+
 def related_identifiers(vocabulary: DataFrame, asked: DataFrame, column: str = "identifier") -> DataFrame:
     """(asked, identifier): the identifiers related to an asked one; asked ones are a stated set and meet the others in blocks."""
     wanted = asked.select(F.col(column).alias("asked")).where("asked is not null").distinct()

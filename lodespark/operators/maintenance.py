@@ -51,7 +51,7 @@ def windows(files: DataFrame, most_files: int = 64, most_bytes: int = 50_000_000
     """
     cols = [order, "bytes"] + ([lane] if lane else [])
     rows = files.select(*cols).withColumn("bytes", F.coalesce("bytes", F.lit(0)).cast("long")).withColumn("chunks", estimated_chunks(F.col("bytes")))
-    rows = rows.repartition(lane).sortWithinPartitions(lane, order) if lane else rows.orderBy(order).coalesce(1)
+    rows = rows.repartition(lane).sortWithinPartitions(lane, order) if lane else rows.repartition(1).sortWithinPartitions(order)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, n, size, parts, window = None, 0, 0, 0, 0

@@ -133,7 +133,7 @@ def health_snapshot(s, d):
 
 def jsonl_groups(s, d):
     """Lines of chunks taken together while they fit 300 characters."""
-    rows = spread(table(s, d, "chunks").where("relative_path like 'exports/%' and length(text) > 0").select("row_id", "text"), "row_id")
+    rows = spread(table(s, d, "chunks").where("length(text) > 0").select("row_id", "text"), "row_id")
     return rows.select("row_id", F.explode(chunking.region_spans(".jsonl", 300)(F.col("text"))).alias("r")).select("row_id", "r.char_start", "r.char_end", "r.context")
 
 
@@ -184,7 +184,7 @@ def citation_checks(s, d):
     """Answers made of chunks: how their citations fit three sources."""
     k = F.col("row_id")
     cited = F.when(k % 5 == 0, "").when(k % 5 == 1, F.concat(F.lit(" [1] and ["), (k % 3 + 1).cast("string"), F.lit("]"))).otherwise(F.concat(F.lit(" ["), (k % 7).cast("string"), F.lit("] [2]")))
-    rows = table(s, d, "chunks").select("row_id", F.concat(F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\[\]]", ""), 1, 50), cited).alias("answer"))
+    rows = table(s, d, "chunks").select("row_id", F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\[\]]", ""), cited).alias("answer"))
     return rows.select("row_id", answers.citation_status(F.col("answer"), F.when(k % 11 == 0, 0).otherwise(3)).alias("status"))
 
 
@@ -299,7 +299,7 @@ SQL = {
   t AS (SELECT count(*) AS discovered, count(*) FILTER (reason IS NULL) AS supported, CAST(coalesce(sum(bytes) FILTER (reason IS NULL), 0) AS BIGINT) AS supported_bytes, max(bytes) FILTER (reason IS NULL) AS largest, count(*) FILTER (reason = 'unsupported-extension') AS unsupported, count(*) FILTER (reason = 'oversized') AS oversized, count(*) FILTER (reason = 'sensitive-name') AS sensitive FROM i)
   SELECT *, (SELECT count(*) FROM m) AS missing, coalesce((SELECT list_sort(list(relative_path)) FROM m), [])[1:5] AS missing_shown, greatest((SELECT count(*) FROM m) - 5, 0) AS missing_omitted, (SELECT count(*) FROM st) AS stale, coalesce((SELECT list_sort(list(relative_path)) FROM st), [])[1:5] AS stale_shown, greatest((SELECT count(*) FROM st) - 5, 0) AS stale_omitted,
     (SELECT count(*) FROM e) AS empty, coalesce((SELECT list_sort(list(relative_path)) FROM e), [])[1:5] AS empty_shown, greatest((SELECT count(*) FROM e) - 5, 0) AS empty_omitted FROM t""",
-    "jsonl_groups": """WITH RECURSIVE t AS (SELECT row_id, length(text) AS n, string_split(text, chr(10)) AS l FROM chunks WHERE relative_path LIKE 'exports/%' AND length(text) > 0),
+    "jsonl_groups": """WITH RECURSIVE t AS (SELECT row_id, length(text) AS n, string_split(text, chr(10)) AS l FROM chunks WHERE length(text) > 0),
   l AS (SELECT row_id, n, unnest(l) AS line, generate_subscripts(l, 1) AS k, l AS every FROM t), p AS (SELECT row_id, line, k, list_sum(list_transform(every[1:k - 1], lambda x: length(x) + 1)) AS s0, n FROM l),
   q AS (SELECT row_id, coalesce(s0, 0) AS s, least(coalesce(s0, 0) + length(line) + 1, n) AS e, row_number() OVER (PARTITION BY row_id ORDER BY k) AS i FROM p WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''),
   g AS (SELECT row_id, i, s AS first, e, 0 AS nth FROM q WHERE i = 1 UNION ALL SELECT q.row_id, q.i, CASE WHEN q.e - first > 300 THEN q.s ELSE first END, q.e, CASE WHEN q.e - first > 300 THEN q.i - 1 ELSE g.nth END FROM g JOIN q ON q.row_id = g.row_id AND q.i = g.i + 1)

@@ -89,10 +89,10 @@ def staged_candidates(s, d):
 
 
 def identifier_match(s, d):
-    """Rows that name an identifier of a query: the equi-join is on the identifier, the queries' side broadcast while it is small."""
-    ids = table(s, d, "chunks").select("row_id", F.explode(F.array_distinct(text.identifiers(F.col("text")))).alias("identifier")).where(F.col("identifier").rlike(r"\d|_"))
-    asked = ids.where("row_id % 100 = 0").select(F.col("row_id").alias("query_id"), "identifier")
-    return ids.join(lexical.small(asked), "identifier").select("query_id", "identifier", "row_id")
+    """Rows that name an identifier, with a digit or underscore, of every hundredth chunk."""
+    chunks = table(s, d, "chunks")
+    asked = chunks.where("row_id % 100 = 0").select(F.col("row_id").alias("q"), F.explode(F.array_distinct(text.identifiers(F.col("text")))).alias("identifier")).where(F.col("identifier").rlike(r"\d|_"))
+    return lexical.identifier_rows(chunks, "row_id", "text", asked).select(F.col("q").alias("query_id"), "identifier", F.col("key").alias("row_id"))
 
 
 def matched_terms(s, d):

@@ -178,6 +178,11 @@ class Engine:
         parsed = parsers.parsed(first, self.config.extractors)
         return chunking.chunked(parsed.where("error is null"), self.config.chunk_size, self.config.chunk_overlap).where(F.col("chunk_index") < chunks).select("relative_path", "chunk_index", "context_path", snippet(F.col("text")).alias("snippet"))
 
+    def unmatched(self, root: str, paths) -> list[str]:
+        """The prefixes of a preview that match no file below ``root``."""
+        found = audit.matched_prefixes(inventory.scanned(self.spark, root), list(paths))
+        return sorted(r[0] for r in found.where("files = 0").collect())
+
     # -- retrieval
 
     def search(self, queries: DataFrame, top_k: int | None = None, include=None, exclude=None, contexts=None, radius: int | None = None, explain: bool = False) -> DataFrame:
@@ -271,18 +276,21 @@ class Engine:
         results = found.join(kinds.select("query_id", "cites"), "query_id", "left").select("query_id", value.alias("value"), "rank")
         cases = evaluate.cases(results, judged, golden)
         metrics = evaluate.metrics(cases)
-        return {"cases": cases, "metrics": metrics, "by_category": evaluate.groups(cases, "category"), "by_locale": evaluate.groups(cases, "locale"), "gates": evaluate.gates(metrics, thresholds)}
+        graded = judged.where("relevance > 1").select("query_id").distinct().count()
+        proof = evaluate.verified(cases, thresholds or {}, self.audit(None)["stale"], graded)
+        return {"proof": proof, "cases": cases, "metrics": metrics, "by_category": evaluate.groups(cases, "category"), "by_locale": evaluate.groups(cases, "locale"), "gates": evaluate.gates(metrics, thresholds)}
 
     # -- reports
 
     def audit(self, root: str | None) -> dict:
-        """Counts of missing and stale files against the files below ``root`` (or of the last ingestion), and chunk statistics."""
+        """Missing and stale files against those below ``root`` (or of the last ingestion), statistics, duplicates and likely archives."""
         m = self.store.require()
         files, chunks = self.store.table("files"), self.store.table("chunks")
         current = inventory.supported_files(inventory.scanned(self.spark, root), most_bytes=self.config.max_file_bytes).select("relative_path", "checksum") if root else files.select("relative_path", "checksum")
         empty = files.where("chunk_count = 0 and error is null").select("relative_path")
         return {
             "generation": m["generation"], "missing": audit.missing(current, chunks, empty).count(), "stale": audit.stale(chunks, current).count(),
+            "duplicates": [r.asDict() for r in audit.duplicate_groups(files).collect()], "archives": [r[0] for r in audit.archive_candidates(files).collect()],
             "stats": audit.chunk_stats(chunks).first().asDict(), "fingerprint": audit.corpus_fingerprint(files).first()["fingerprint"],
         }
 

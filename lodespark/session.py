@@ -100,7 +100,11 @@ def ship(spark: SparkSession) -> None:
         return
     if getattr(spark.sparkContext, "_lodespark_shipped", False):
         return
-    base = os.path.join(tempfile.mkdtemp(prefix="lodespark-zip-"), "lodespark")
+    shared = shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    # the driver serves the archive, so where the shared folder is no path of this machine any place will do
+    folder = os.path.join(shared, f"package-{uuid.uuid4().hex}") if shared.startswith("/") else tempfile.mkdtemp(prefix="lodespark-zip-")
+    os.makedirs(folder, exist_ok=True)
+    base = os.path.join(folder, "lodespark")
     spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", root, "lodespark"))
     spark.sparkContext._lodespark_shipped = True
 
