@@ -120,8 +120,8 @@ def tokens_related(a: Column, b: Column) -> Column:
 
 
 def identifiers(text: Column) -> Column:
-    """Compound words joined by hyphens or underscores, normalised."""
-    return F.regexp_extract_all(normalize_for_match(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+(?:[-_][\p{L}\p{N}]+)+)"), 1)
+    """Compound words joined by hyphens or underscores, normalised. A word that isn't one is not tried again from its middle."""
+    return F.regexp_extract_all(normalize_for_match(F.coalesce(text, F.lit(""))), F.lit(r"((?<![\p{L}\p{N}])[\p{L}\p{N}]++(?:[-_][\p{L}\p{N}]++)+)"), 1)
 
 
 def anchors(text: Column) -> Column:
@@ -214,7 +214,7 @@ def identifiers_related(a: Column, b: Column) -> Column:
     def part(p: Column) -> Column:
         l, r = p["x"], p["y"]
         digits = l.rlike(r"^\d+$") & r.rlike(r"^\d+$")
-        near = (F.length(l) >= 7) & (F.length(r) >= 7) & (F.abs(F.length(l) - F.length(r)) <= 1) & (F.levenshtein(l, r) <= 1)
+        near = (F.length(l) >= 7) & (F.length(r) >= 7) & (F.abs(F.length(l) - F.length(r)) <= 1) & (F.levenshtein(l, r, 1) >= 0)  # -1 beyond one
         return (l == r) | (~digits & near)
 
     return (F.size(x) == F.size(y)) & F.forall(F.zip_with(x, y, lambda l, r: F.struct(l.alias("x"), r.alias("y"))), part)

@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodespark.functions.text import compound_words, same_identifier, tokenize, tokens
-from lodespark.session import BROADCAST_KEYS, spread, stash
+from lodespark.functions.text import compound_words, identifiers_related, tokenize, tokens
+from lodespark.session import BROADCAST_KEYS, semi_by_key, spread, stash
 
 K1, B = 1.2, 0.75
 #: Queries that one pass over the index answers; their terms are what a worker holds.
@@ -30,6 +30,10 @@ HELD = 2_000_000
 #: Distinct tokens of queries that are sent to the workers, so that the index of one search holds no others.
 SENT_TOKENS = 500_000
 INDEX = ("len", "tokens", "tfs")
+#: Characters of a part of an identifier from which on another may be one edit apart.
+FUZZY_LENGTH = 7
+#: Words as numbers: those of ``left_out_keys`` fit a long.
+KEY_PRIME, KEY_BASE = 2**61 - 1, 1_000_003
 
 
 def small(df: DataFrame, bound: int = BROADCAST_KEYS // 4) -> DataFrame:
@@ -369,25 +373,62 @@ def _identifier_rows(own: list[tuple[int, str]]):
 
 
 def related_identifiers(vocabulary: DataFrame, asked: DataFrame, column: str = "identifier") -> DataFrame:
-    """(asked, identifier): the identifiers related to an asked one; asked ones are a stated set and meet the others in blocks."""
-    wanted = asked.select(F.col(column).alias("asked")).where("asked is not null").distinct()
-    blocks = max(1, -(-wanted.count() // BLOCK_QUERIES))
-    rows = vocabulary.select(F.col(column).alias("identifier")).where("identifier is not null").distinct()
-    every = None
-    for block in range(blocks):
-        own = [r[0] for r in wanted.where(F.pmod(F.xxhash64("asked"), F.lit(blocks)) == block).collect()]
-        part = rows.mapInArrow(_related_identifiers(own), "asked string, identifier string")
-        every = part if every is None else every.unionByName(part)
-    return every
+    """(asked, identifier): the identifiers related to an asked one, by ``text.identifiers_related``."""
+    wanted = stash(asked.select(F.col(column).alias("asked")).where("asked is not null").distinct())
+    rows = stash(vocabulary.select(F.col(column).alias("identifier")).where("identifier is not null").distinct())
+    return identifier_candidates(rows, wanted).where(identifiers_related(F.col("asked"), F.col("identifier")))
 
 
-def _related_identifiers(own: list[str]):
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_parts: dict[int, list[str]] = {}
-        for a in own:
-            by_parts.setdefault(a.count("-") + a.count("_"), []).append(a)
-        for batch in it:
-            out = [(a, i) for i in batch.column(0).to_pylist() for a in by_parts.get(i.count("-") + i.count("_"), ()) if same_identifier(a, i)]
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.string()), pa.array([i for _, i in out], pa.string())], ["asked", "identifier"])
+def identifier_candidates(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(asked, identifier), each pair once: all that are related, and few others.
 
-    return run
+    Related ones have the same short parts, and at each place of a long one parts that are equal or one edit apart. An
+    asked one is looked up by that place of its own where the fewest identifiers have such a part, so a part that many
+    share costs nothing where another tells them apart.
+    """
+    keyed = _long_parts(rows, "identifier").select("identifier", F.xxhash64("frame", "place", "part").alias("key"))
+    places = _long_parts(wanted, "asked")
+    like = near_parts(_long_parts(rows, "identifier").select("part").distinct(), places.select("part").distinct())
+    keys = stash(places.join(small(like), "part").select("asked", "place", F.xxhash64("frame", "place", "like").alias("key")).distinct())
+    counts = semi_by_key(keyed, keys.select("key").distinct(), "key").groupBy("key").agg(F.count("*").alias("n"))
+    found = keys.join(counts, "key", "left").groupBy("asked", "place").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    best = found.groupBy("asked").agg(F.min_by("place", F.struct("n", "place")).alias("place"))
+    chosen = stash(keys.join(best, ["asked", "place"]).select("asked", "key"))
+    return keyed.join(small(chosen), "key").select("asked", "identifier")
+
+
+def _long_parts(df: DataFrame, column: str) -> DataFrame:
+    """(``column``, frame, place, part): the long parts of identifiers and the short ones around them; an empty part where none is long."""
+    parts = F.split(column, "[-_]")
+    frame = F.array_join(F.transform(parts, lambda p: F.when(F.length(p) < FUZZY_LENGTH, p).otherwise("*")), "-")
+    long = F.filter(F.transform(parts, lambda p, k: F.struct(k.alias("place"), p.alias("part"))), lambda x: F.length(x["part"]) >= FUZZY_LENGTH)
+    none = F.array(F.struct(F.lit(-1).alias("place"), F.lit("").alias("part")))
+    return df.select(column, frame.alias("frame"), F.explode(F.when(F.size(long) > 0, long).otherwise(none)).alias("x")).select(column, "frame", "x.place", "x.part")
+
+
+def near_parts(parts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(part, like): for each asked part the others that are equal or one edit apart.
+
+    Such words are equal once a character at most is left out of either, and few words are equal so: no key is hot.
+    """
+    own = stash(asked.select("part", F.explode(left_out("part")).alias("key")))
+    others = semi_by_key(parts.select(F.col("part").alias("like"), F.explode(left_out("part")).alias("key")), own.select("key").distinct(), "key")
+    return stash(others.join(small(own), "key").select("part", "like").distinct().where(identifiers_related(F.col("part"), F.col("like"))))
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def left_out(word: pd.Series) -> pd.Series:
+    return word.map(lambda w: list(left_out_keys(w)))
+
+
+def left_out_keys(word: str) -> set[int]:
+    """A number for the word and for what is left without each of its characters, in time that follows its length."""
+    tail, power, tails = 0, 1, []
+    for c in reversed(word):
+        tails.append((tail, power))
+        tail, power = (tail + (ord(c) + 1) * power) % KEY_PRIME, power * KEY_BASE % KEY_PRIME
+    head, keys = 0, {tail}
+    for c, (rest, power) in zip(word, reversed(tails)):
+        keys.add((head * power + rest) % KEY_PRIME)
+        head = (head * KEY_BASE + ord(c) + 1) % KEY_PRIME
+    return keys

@@ -100,7 +100,8 @@ def embedding_inputs(s, d):
 
 def identifier_relations(s, d):
     """Identifiers of the whole table related to one of every hundredth chunk."""
-    ids = table(s, d, "chunks").select("row_id", F.explode(F.array_distinct(text.identifiers(F.col("text")))).alias("identifier"))
+    chunks = spread(table(s, d, "chunks").select("row_id", "text"), "row_id")
+    ids = chunks.select("row_id", F.explode(F.array_distinct(text.identifiers(F.col("text")))).alias("identifier"))
     return lexical.related_identifiers(ids, ids.where("row_id % 100 = 0"))
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 from collections import Counter
@@ -292,6 +293,33 @@ def test_related_terms_against_all_pairs(spark):
     assert got == want and ("retention", "retentions") in got and ("ret", "reta") not in got
 
 
+def test_related_identifiers_against_all_pairs(spark):
+    words = ["contract", "contracts", "contrast", "kontract", "contra", "contrac", "1234567", "1234568", "123456a", "x1", "x2", "contraction", "c" * 400, "c" * 401, "c" * 402, "договоры", "договора", "\U00010330" * 7, "\U00010330" * 8]
+    names = sorted({f"{a}{sep}{b}" for a in words for b in words for sep in "-_"} | {f"x1-{a}_{b}-x2" for a in words for b in words[:5]} | {"a-b", "a_b", "b-a", "a-b-c", "a_b-c"})
+    asked = [n for n in names if "_" in n][::3] + ["a-b", "absent-contract", "absent-word"]
+    asked = sorted({*asked, "1234567_x1", f"{'c' * 400}_x1"})
+    df = spark.createDataFrame([(n,) for n in [*names, *names[:9], None]], "identifier string")
+    got = list(map(tuple, lexical.related_identifiers(df, spark.createDataFrame([(a,) for a in [*asked, *asked[:9], None]], "identifier string")).collect()))
+    want = {(a, i) for a in asked for i in names if text_functions.same_identifier(a, i)}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert ("a-b", "a_b") in want and ("1234567_x1", "123456a-x1") in want and ("1234567_x1", "1234568-x1") not in want and (f"{'c' * 400}_x1", f"{'c' * 401}-x1") in want
+    assert lexical.related_identifiers(df.limit(0), df).count() == 0 and lexical.related_identifiers(df, df.limit(0)).count() == 0
+
+
+def test_identifiers_that_share_long_parts_are_not_compared_with_all(spark):
+    names = [f"{shared}-{hashlib.md5(str(k).encode()).hexdigest()}-{shared}" for k in range(3_000) for shared in ("authorization", "certificate")]
+    df = spark.createDataFrame([(n,) for n in names], "identifier string")
+    pairs = lexical.identifier_candidates(df, df.withColumnRenamed("identifier", "asked")).collect()
+    assert {tuple(r) for r in pairs} >= {(n, n) for n in names} and len(pairs) < 4 * len(names)
+
+
+@pytest.mark.parametrize("word", ["", "a", "aaaa", "contract", "договор", "\U00010330\U0010ffffx"])
+def test_words_without_one_character(word):
+    keys = lexical.left_out_keys(word)
+    shorter = {word[:k] + word[k + 1 :] for k in range(len(word))}
+    assert len(keys) == len(shorter | {word}) and all(lexical.left_out_keys(w) & keys for w in shorter) and all(0 <= k < 2**63 for k in keys)
+
+
 def test_phrases(spark):
     df = spark.createDataFrame([(1, "a red green fox"), (2, "green red"), (3, "Rêd, green red green"), (4, None)], "k long, t string")
     asked = spark.createDataFrame([(1, ["red", "green"]), (2, []), (3, ["fox"])], "q long, w array<string>")
